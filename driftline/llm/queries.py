@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, quality, sharding, toxicity
-from driftline.llm.common import table
+from driftline.llm import bpe, html_extract, ngram_join, quality, sharding, toxicity, warc
+from driftline.llm.common import shared_dir, table
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,22 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = ngram_join.group_documents(table(spark, sf_dir, "documents"), ngram_join.Rule(4, 85, 100))
+    return grouped.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/{warc.archive_name()}"
+    warc.write(warc.page_records(table(spark, sf_dir, "pages")), path)
+    return warc.page_index(spark, path)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -39,7 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_classifier, op8_sharding, op9_byte_bpe, op10_toxicity]
+    found = [op2_quality_classifier, op3_html_extraction, op5_ngram_jaccard, op6_warc, op8_sharding, op9_byte_bpe, op10_toxicity]
     return {f.__name__: f for f in found}
 
 

@@ -28,7 +28,7 @@ BITS = 20
 LEADING = (4, 5, 6)
 FACTORS = 4
 #: Bound of the training sample, in rows; below it every labelled row is used.
-MAX_TRAINING_ROWS = 16_000
+MAX_TRAINING_ROWS = 12_000
 #: Terms in fewer distinct training texts get no weight.
 MIN_ROWS = 4
 #: Terms enter the model if their share among toxic and other texts differs by so many standard errors.
@@ -86,38 +86,27 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _distinct(term: np.ndarray, end: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term, row, label) without rows that repeat another's terms and label: copies of a text
-    would make its chance words look telling."""
-    size = np.diff(np.concatenate([[0], end]))
-    row = np.repeat(np.arange(len(label)), size)
-    h = K.mix(term.astype(np.uint64) + np.uint64(1))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
-    key = np.column_stack([sums[end] - sums[end - size], size.astype(np.uint64), label.astype(np.uint64)])
-    _, first = np.unique(key, axis=0, return_index=True)
-    keep = np.zeros(len(label), bool)
-    keep[first] = True
-    new = np.cumsum(keep) - 1
-    return term[keep[row]], new[row[keep[row]]], label[keep]
-
-
 def fit(term: np.ndarray, end: np.ndarray, label: np.ndarray, steps: int = 2000, rate: float = 0.2, l2: float = 1e-3, seed: int = 7) -> FactorizationMachine:
     """Adagrad on the logistic loss with classes weighted evenly, over the terms that pass a
     two-proportion test between the classes; at least ``steps`` steps of about 128 rows, and 20
     passes.  ``end``: where each row's terms end."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    term, row, label = _distinct(term, end, label)
     n, positive = len(label), float(label.sum())
-    names, place, counts = np.unique(term, return_inverse=True, return_counts=True)
     if positive in (0, n):
         share = (positive + 1) / (n + 2)
-        return FactorizationMachine(float(np.log(share / (1 - share))), names[:0], np.zeros(0), np.zeros((0, FACTORS)))
-    hits = np.bincount(place, label[row], len(names))
+        return FactorizationMachine(float(np.log(share / (1 - share))), term[:0], np.zeros(0), np.zeros((0, FACTORS)))
+    begin = np.concatenate([[0], end[:-1]])
+    counts, hits = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for k in np.flatnonzero(label == 1):  # a row's terms are distinct
+        hits[term[begin[k] : end[k]]] += 1
+    for k in range(0, len(term), 1 << 20):
+        counts += np.bincount(term[k : k + (1 << 20)], minlength=1 << BITS)
     p1, p0, p = hits / positive, (counts - hits) / (n - positive), counts / n
     z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / positive + 1 / (n - positive)))
     used = (counts >= MIN_ROWS) & (np.abs(z) >= MIN_Z)
-    known, keep = names[used], used[place]
-    row, place = row[keep], (np.cumsum(used) - 1)[place[keep]]
+    known, at_known = np.flatnonzero(used).astype(np.int32), np.cumsum(used) - 1
+    keep = np.flatnonzero(used[term])
+    row, place = np.searchsorted(end, keep, "right"), at_known[term[keep]]
     d = len(known)
     w, v, bias = np.zeros(d), rng.normal(0, 0.01, (d, FACTORS)), 0.0
     gw, gv, gb = np.full(d, 1e-2), np.full((d, FACTORS), 1e-2), 1e-2
@@ -157,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held
     if total > max_rows:
         picked = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / total)
     chosen = docs.select(F.col("doc_id").alias("id"), "text").filter(picked & (fold_of != held_out)).withColumnRenamed("id", "doc_id")
-    got = featurise(chosen).join(known.filter(picked), "id").select("terms", "label").orderBy("label", "terms").toArrow()
+    # copies of a text would make its chance words look telling, so they count once
+    got = featurise(chosen).join(known.filter(picked), "id").select("terms", "label", F.xxhash64("terms").alias("key")).dropDuplicates(["key", "label"]).orderBy("key", "label").select("terms", "label").toArrow()
     lists = got.column("terms").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))

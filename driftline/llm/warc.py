@@ -108,7 +108,7 @@ class WarcWriter(DataSourceArrowWriter):
             for i in range(batch.num_rows):
                 row = {c: batch.column(k)[i].as_py() for k, c in enumerate(names)}
                 if out is None:
-                    out = system.open_output_stream(f"{root}/{name}")
+                    out = system.open_output_stream(f"{root}/{name}", compression=None)
                 if not starts or at - starts[-1] >= SPLIT_BYTES:
                     starts.append(at)
                 data = member(record(row["warc_type"], row["record_id"] or f"urn:uuid:{uuid.uuid4()}", row["target_uri"], row["refers_to"], row["payload_digest"], row["payload_length"], row["payload"] or b"", self.date))
