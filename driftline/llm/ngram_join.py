@@ -5,15 +5,18 @@ similarity at least t share a token among the first n - ceil(t*n) + 1 of each,
 under any one order of all tokens.  Documents with equal sets form a class;
 classes are the nodes of the join.
 
-1. Keys: (id, size, 128-bit key of the set) of every document, and the tokens
-   that are frequent within a batch.  The latter only shape the first order.
-2. First order: frequent tokens last, the others by their hash.  Prefix tokens
-   are shuffled; a token shared by few nodes gives all their pairs, one shared
-   by many gives pairs with its smallest node only.
-3. The pairs' prefixes under two more orders (other hashes) must meet as well:
-   the filters are intersected before anything is verified.
-4. Survivors are verified by exact set intersection; links give components.
-5. Tokens shared by many nodes: nodes that are still in different components
+1. Keys: (id, size, 128-bit key of the set) of every document.
+2. Order by hash: prefix tokens are counted; tokens in many prefixes are known
+   as crowded.
+3. First order: crowded tokens last, the others by hash.  Prefix tokens are
+   shuffled by token; a token shared by few nodes gives all their pairs, one
+   shared by many gives pairs with its smallest node only.  How many prefix
+   tokens a pair shares bounds its overlap; pairs below the bound go.
+4. The pairs' prefixes under two more orders (other hashes, crowded tokens
+   last again) must meet as well: the filters are intersected before anything
+   is verified.
+5. Survivors are verified by exact set intersection; links give components.
+6. Tokens shared by many nodes: nodes that are still in different components
    meet under the second order, and the pairs across components are verified
    likewise.  Pairs inside a component need no check, so a group of thousands
    of near copies costs a star, not a square, and no link between components
@@ -35,11 +38,11 @@ from driftline.llm import kernels as K
 from driftline.llm.common import cut
 from driftline.llm.components import components
 
-#: A token in so many documents of one batch counts as frequent.
-FREQUENT_IN_BATCH = 16
-#: Bound of the broadcast table of frequent tokens; the most frequent are taken.  It bounds the
-#: first order's quality, not its result: any order is exact.
-MAX_FREQUENT = 200_000
+#: Prefixes that hold a token, from which on it counts as crowded.
+CROWDED = 6
+#: Bound of the broadcast table of crowded tokens; the most crowded are taken.  It bounds the
+#: orders' quality, not the result: any order is exact.
+MAX_CROWDED = 200_000
 #: Nodes of a token up to which all pairs are formed.
 SMALL = 16
 #: Seeds of the second and third order.
@@ -62,11 +65,12 @@ def prefix_length(n: np.ndarray, rule: Rule) -> np.ndarray:
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, row of each, set sizes): each row's distinct shingle hashes, ascending."""
+    rows = len(off) - 1
     start, end, row = K.spans(data, off)
     words = K.span_hashes(K.prefix_sums(data), start, end)
-    token, row = K.shingles(words, row, len(off) - 1, k)
-    token, row = K.distinct_by_row(token, row)
-    return token, row, np.bincount(row, minlength=len(off) - 1)
+    token, row = K.shingles(words, row, rows, k)
+    token, row = K.distinct_by_row(token, row, rows)
+    return token, row, np.bincount(row, minlength=rows)
 
 
 def set_keys(token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,47 +83,56 @@ def set_keys(token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-def _first(order: np.ndarray, row: np.ndarray, sizes: np.ndarray, rule: Rule) -> np.ndarray:
-    """Which entries, already ascending by (row, order), lie in their row's prefix."""
-    begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    return np.arange(len(row)) - begin[row] < prefix_length(sizes, rule)[row]
+class Known:
+    """Membership test of a bounded, sorted set of tokens."""
+
+    BITS = 22
+
+    def __init__(self, tokens: np.ndarray) -> None:
+        self.tokens = np.sort(tokens)
+        self.maybe = np.zeros(1 << self.BITS, bool)
+        self.maybe[self.tokens >> np.uint64(64 - self.BITS)] = True
+
+    def holds(self, token: np.ndarray) -> np.ndarray:
+        out = self.maybe[token >> np.uint64(64 - self.BITS)]
+        at = np.flatnonzero(out)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.tokens, token[at]), len(self.tokens) - 1)
+            out[at] = self.tokens[place] == token[at]
+        return out
+
+
+def ordered(token: np.ndarray, row: np.ndarray, sizes: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Place of each entry in its row under "late ones behind the others, each by value"; entries
+    are ascending by (row, value)."""
+    plain = np.concatenate([[0], np.cumsum(~late)])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    early = (plain[begin[1:]] - plain[begin[:-1]])[row]
+    before = plain[:-1] - plain[begin[row]]
+    return np.where(late, early + np.arange(len(row)) - begin[row] - before, before)
 
 
 def keys(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, n, node, check) of documents, and rows (token, found) of locally frequent tokens."""
+    """(id, n, node, check) of each row."""
     id_type = docs.schema[id_col].dataType
-    bits = 22
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, held, id_type_pa = np.zeros(1 << bits, np.int32), [], batch.column(0).type
             for lo, hi, data, off in K.slices(batch.column(1)):
                 token, _, sizes = shingle_sets(data, off, rule.k)
                 node, check = set_keys(token, sizes)
-                counts += np.bincount((token >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
-                held.append(token)
-                m = hi - lo
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, m), pa.array(sizes), pa.array(node), pa.array(check), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], ["id", "n", "node", "check", "token", "found"])
-            maybe = [t[counts[(t >> np.uint64(64 - bits)).astype(np.int64)] >= FREQUENT_IN_BATCH] for t in held]
-            token, found = np.unique(np.concatenate([np.zeros(0, np.uint64), *maybe]), return_counts=True)
-            often = found >= FREQUENT_IN_BATCH
-            m = int(often.sum())
-            if m:
-                none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type_pa), none, none, none, pa.array(token[often].view(np.int64)), pa.array(found[often])], ["id", "n", "node", "check", "token", "found"])
-
-    longs = [T.StructField(c, T.LongType()) for c in ("n", "node", "check", "token", "found")]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(node), pa.array(check)], ["id", "n", "node", "check"])
+
+    longs = [T.StructField(c, T.LongType()) for c in ("n", "node", "check")]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, T.StructType([T.StructField("id", id_type), *longs]))
 
 
-def postings(docs: DataFrame, rule: Rule, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """(token, node, n) of the first order's prefixes.  Copies within a task's input post once."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
+def postings(docs: DataFrame, rule: Rule, text_col: str, crowded: np.ndarray) -> DataFrame:
+    """(token, node, n) of the prefixes.  Copies within a task's input post once."""
+    sent = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
-        maybe = np.zeros(1 << 20, bool)
-        maybe[common >> np.uint64(44)] = True
+        known = Known(sent.value)
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, off in K.slices(batch.column(0)):
@@ -130,59 +143,67 @@ def postings(docs: DataFrame, rule: Rule, text_col: str, frequent: np.ndarray) -
                     if key not in seen:
                         seen.add(key)
                         fresh[i] = True
-                last = maybe[token >> np.uint64(44)]
-                if last.any():
-                    at = np.flatnonzero(last)
-                    place = np.minimum(np.searchsorted(common, token[at]), len(common) - 1)
-                    last[at] = common[place] == token[at]
-                # rows are ascending by hash; the frequent go behind the others of their row
-                plain = ~last
-                rank = np.concatenate([[0], np.cumsum(plain)])
-                begin = np.concatenate([[0], np.cumsum(sizes)])
-                others = rank[begin[1:]] - rank[begin[:-1]]
-                place = np.where(plain, rank[:-1] - rank[begin[row]], others[row] + (np.arange(len(row)) - begin[row]) - (rank[:-1] - rank[begin[row]]))
-                take = (place < prefix_length(sizes, rule)[row]) & fresh[row]
-                yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(node[row[take]]), pa.array(sizes[row[take]].astype(np.int32))], ["token", "node", "n"])
+                late = known.holds(token)
+                take = (ordered(token, row, sizes, late) < prefix_length(sizes, rule)[row]) & fresh[row]
+                own = row[take]
+                yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(node[own]), pa.array(sizes[own].astype(np.int32))], ["token", "node", "n"])
             if len(seen) > 1 << 20:
                 seen.clear()
 
     return docs.select(text_col).mapInArrow(run, "token long, node long, n int")
 
 
-def sets(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
-    """(node, second, third, tokens): prefixes under the further orders, and the whole set."""
+def sets(docs: DataFrame, rule: Rule, text_col: str, crowded: np.ndarray) -> DataFrame:
+    """(node, n, second, third, tokens): prefixes under the further orders, and the whole set.
+    Tokens of the further orders go by their other hashes."""
+    sent = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = [Known(K.mix(sent.value ^ np.uint64(seed))) for seed in ORDER_SEEDS]
         for batch in batches:
             for _, _, data, off in K.slices(batch.column(0)):
                 token, row, sizes = shingle_sets(data, off, rule.k)
                 node, _ = set_keys(token, sizes)
-                columns = [pa.array(node)]
-                for seed in ORDER_SEEDS:
-                    by = np.lexsort((K.mix(token ^ np.uint64(seed)), row))
-                    take = by[_first(by, row[by], sizes, rule)]
-                    ends = np.concatenate([[0], np.cumsum(prefix_length(sizes, rule))]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(token[take].view(np.int64))))
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(token.view(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, ["node", "second", "third", "tokens"])
+                ends, length = np.cumsum(sizes), prefix_length(sizes, rule)
+                columns = [pa.array(node), pa.array(sizes.astype(np.int32))]
+                for seed, known in zip(ORDER_SEEDS, orders, strict=True):
+                    other = K.sort_rows(K.mix(token ^ np.uint64(seed)), ends)
+                    take = ordered(other, row, sizes, known.holds(other)) < length[row]
+                    stops = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(stops), pa.array(other[take].view(np.int64))))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(token.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "second", "third", "tokens"])
 
-    return docs.select(text_col).mapInArrow(run, "node long, second array<long>, third array<long>, tokens array<long>")
+    return docs.select(text_col).mapInArrow(run, "node long, n int, second array<long>, third array<long>, tokens array<long>")
 
 
-def _close(a: str, b: str, rule: Rule) -> Column:
+def _sizes_fit(a: Column, b: Column, rule: Rule) -> Column:
     """Sizes that allow the similarity."""
     return F.least(a, b) * rule.of >= F.greatest(a, b) * rule.least
 
 
+def _overlap_fits(na: Column, nb: Column, shared: Column, rule: Rule) -> Column:
+    """Whether ``shared`` common prefix tokens allow the overlap: what lies behind the prefix that
+    ends first can add its own length at most."""
+    behind = F.ceil(F.greatest(na, nb) * rule.least / rule.of) - 1
+    return (shared + behind) * (rule.of + rule.least) >= (na + nb) * rule.least
+
+
 def _pairs(shared: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct (a, b), a < b: all pairs of tokens with few nodes, stars of the others."""
+    """Distinct (a, b), a < b, that can be similar: all pairs of tokens with few nodes, stars of the
+    others.  The common prefix tokens of a pair are the small tokens that gave it and, at most, the
+    lesser of its nodes' numbers of tokens with many nodes."""
+    large = shared.filter(F.col("shared_by") > SMALL)
     members = shared.filter(F.col("shared_by") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("m"))
-    ok = lambda x, y: (x["node"] < y["node"]) & (F.least(x["n"], y["n"]) * rule.of >= F.greatest(x["n"], y["n"]) * rule.least)
-    nested = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: ok(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
-    small = members.select(F.explode(F.flatten(nested)).alias("p")).select("p.a", "p.b")
-    star = shared.filter((F.col("shared_by") > SMALL) & (F.col("node") != F.col("least_node")) & _close("n", "least_n", rule)).select(F.col("least_node").alias("a"), F.col("node").alias("b"))
-    return small.union(star).distinct()
+    ok = lambda x, y: (x["node"] < y["node"]) & _sizes_fit(x["n"], y["n"], rule)
+    nested = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: ok(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))))
+    small = members.select(F.explode(F.flatten(nested)).alias("p")).select("p.*", F.lit(1).alias("c"))
+    star = large.filter((F.col("node") != F.col("least_node")) & _sizes_fit(F.col("n"), F.col("least_n"), rule)).select(F.col("least_node").alias("a"), F.col("node").alias("b"), F.col("least_n").alias("na"), F.col("n").alias("nb"), F.lit(0).alias("c"))
+    counted = small.union(star).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
+    many = large.groupBy("node").agg(F.count("*").alias("many"))
+    counted = counted.join(many.select(F.col("node").alias("a"), F.col("many").alias("many_a")), "a", "left").join(many.select(F.col("node").alias("b"), F.col("many").alias("many_b")), "b", "left")
+    bound = F.col("c") + F.least(F.coalesce("many_a", F.lit(0)), F.coalesce("many_b", F.lit(0)))
+    return counted.filter(_overlap_fits(F.col("na"), F.col("nb"), bound, rule)).select("a", "b")
 
 
 def _links(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
@@ -198,6 +219,18 @@ def _links(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
     return both.withColumn("common", common).filter(F.col("common") * rule.of >= (F.size("tokens_a") + F.size("tokens_b") - F.col("common")) * rule.least).select("a", "b")
 
 
+def _across(open_nodes: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b) of different components that share enough prefix tokens of the second order.  Sizes
+    fall into geometric bands, so a token's nodes meet only those of a neighbouring band."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(rule.least / rule.of)))
+    second = open_nodes.join(held.select("node", "n", "second"), "node").select("node", "n", "root", F.explode("second").alias("token"), band.alias("band"))
+    x = second.select(*(F.col(c).alias(f"{c}_x") for c in second.columns))
+    y = second.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") + 1)))
+    met = x.join(y, (F.col("token_x") == F.col("token")) & (F.col("band_x") == F.col("band"))).filter((F.col("node_x") < F.col("node")) & (F.col("root_x") != F.col("root")) & _sizes_fit(F.col("n_x"), F.col("n"), rule))
+    counted = met.groupBy(F.col("node_x").alias("a"), F.col("node").alias("b")).agg(F.first("n_x").alias("na"), F.first("n").alias("nb"), F.count("*").alias("c"))
+    return counted.filter(_overlap_fits(F.col("na"), F.col("nb"), F.col("c"), rule)).select("a", "b")
+
+
 @dataclass
 class Joined:
     """``documents``: (id, n, node); ``links``: verified pairs of nodes, enough to give every
@@ -209,46 +242,40 @@ class Joined:
 
 
 def similarity_join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> Joined:
-    found = cut(keys(docs, rule, id_col, text_col))
-    known = found.filter("node is not null").select("id", "n", "node", "check")
-    often = found.filter("token is not null").groupBy("token").agg(F.sum("found").alias("found")).orderBy(F.desc("found"), "token").limit(MAX_FREQUENT).select("token").toArrow()
-    frequent = often.column("token").to_numpy().view(np.uint64)
+    known = cut(keys(docs, rule, id_col, text_col))
     classes = known.filter("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.min("check").alias("check"), F.max("check").alias("check_to"))
     if classes.filter("check != check_to").limit(1).count():
         raise RuntimeError("two different shingle sets have one 64-bit key; use another seed")
 
+    by_hash = postings(docs, rule, text_col, np.zeros(0, np.uint64)).groupBy("token").agg(F.count("*").alias("held"))
+    often = by_hash.filter(F.col("held") >= CROWDED).orderBy(F.desc("held"), "token").limit(MAX_CROWDED).select("token").toArrow()
+    crowded = often.column("token").to_numpy().view(np.uint64)
+
     by_token = Window.partitionBy("token")
-    in_order = by_token.orderBy("node")
-    posted = postings(docs, rule, text_col, frequent)
-    single = posted.withColumn("before", F.lag("node").over(in_order)).filter("before is null or before != node").drop("before")
+    posted = postings(docs, rule, text_col, crowded)
+    single = posted.withColumn("before", F.lag("node").over(by_token.orderBy("node"))).filter("before is null or before != node").drop("before")
     shared = cut(
         single.withColumns({"shared_by": F.count("*").over(by_token), "least": F.min(F.struct("node", "n")).over(by_token)})
         .filter("shared_by > 1")
         .select("token", "node", "n", "shared_by", F.col("least.node").alias("least_node"), F.col("least.n").alias("least_n"))
     )
+    large = shared.filter(F.col("shared_by") > SMALL)
     candidates = cut(_pairs(shared, rule))
-    crowded = shared.filter(F.col("shared_by") > SMALL)
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).union(crowded.select("node")).distinct()
-    first = wanted.join(classes, "node").select("node", F.col("first_id").alias("id"))
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col)).join(first, "id").select(text_col)
-    held = cut(sets(chosen, rule, text_col))
+    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).union(large.select("node")).distinct()
+    first = wanted.join(classes, "node").select(F.col("first_id").alias("id")).distinct()
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col)).join(first.withColumnRenamed("id", "first_id"), F.col("id").eqNullSafe(F.col("first_id")), "left_semi").select(text_col)
+    held = cut(sets(chosen, rule, text_col, crowded))
     links = cut(_links(candidates, held, rule).distinct())
     roots = components(links)
 
-    placed = crowded.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = large.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    open_nodes = cut(placed.join(mixed, "token", "left_semi").select("node", "n", "root").distinct())
+    open_nodes = cut(placed.join(mixed, "token", "left_semi").select("node", "root").distinct())
     if open_nodes.limit(1).count():
-        # nodes that share a crowded token but no component: pairs across components must share
-        # a prefix token of the second order and have sizes of one or two neighbouring classes
-        band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(rule.least / rule.of)))
-        second = open_nodes.join(held.select("node", "second"), "node").select("node", "n", "root", F.explode("second").alias("token"), band.alias("band"))
-        x = second.select(*(F.col(c).alias(f"{c}_x") for c in second.columns))
-        y = second.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") + 1)))
-        across = x.join(y, (F.col("token_x") == F.col("token")) & (F.col("band_x") == F.col("band"))).filter((F.col("node_x") < F.col("node")) & (F.col("root_x") != F.col("root")) & _close("n_x", "n", rule))
-        more = across.select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
-        links = cut(links.union(_links(more, held, rule)).distinct())
-        roots = components(links)
+        more = cut(_across(open_nodes, held, rule))
+        if more.limit(1).count():
+            links = cut(links.union(_links(more, held, rule)).distinct())
+            roots = components(links)
     return Joined(known.select("id", "n", "node"), links, roots)
 
 

@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, html_extract, ngram_join, quality, sharding, toxicity, warc
+from driftline.llm import bpe, decontam, embed_dedup, html_extract, ngram_join, quality, sharding, suffix_dedup, toxicity, warc
 from driftline.llm.common import shared_dir, table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -22,6 +28,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = ngram_join.group_documents(table(spark, sf_dir, "documents"), ngram_join.Rule(4, 85, 100))
     return grouped.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -33,6 +44,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_index(spark, path)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -55,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_classifier, op3_html_extraction, op5_ngram_jaccard, op6_warc, op8_sharding, op9_byte_bpe, op10_toxicity]
+    found = [op1_suffix_array_dedup, op2_quality_classifier, op3_html_extraction, op4_decontamination, op5_ngram_jaccard, op6_warc, op7_embedding_dedup, op8_sharding, op9_byte_bpe, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
