@@ -6,11 +6,12 @@ document with a smaller id.  Only suffixes that can matter are sorted:
 1. Every string of LENGTH bytes has an anchor: of its GRAM-byte grams the one
    with the least hash (the leftmost on ties).  Equal strings have equal
    anchors at equal offsets, so they meet under the anchor's hash.
-2. Documents are dealt into buckets of bounded bytes; a bucket sends its
-   distinct anchor hashes, in binary blocks by hash range, and learns which
-   occur in other documents too.
-3. For those it sends the context (all bytes of all strings over the anchor),
-   once per distinct context, with the smallest document id that has it.
+2. Documents are dealt into buckets of bounded bytes by a hash of their text,
+   so copies meet and count once; a text whose copies would overfill a bucket
+   is salted.  A bucket sends its distinct anchor hashes, in binary blocks by
+   hash range, and learns which occur in other documents too.
+3. For those it sends the context (the bytes of the strings that have the
+   anchor), once per distinct context, with the smallest document id.
 4. Per hash range, the suffixes that start in these contexts are ordered by
    deep-shallow sorting to the depth LENGTH: multikey quicksort, eight bytes a
    step, to a shallow depth; then blind tries for the groups that still agree.
@@ -24,8 +25,6 @@ exchange is reused); all else are blocks of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,22 +32,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from driftline.llm import buckets as B
 from driftline.llm import kernels as K
 
 LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM  # bytes of a string beside its anchor
 CONTEXT = LENGTH + SPAN
-#: Text bytes of a bucket; bounds what a Python worker holds.
-BUCKET_BYTES = 8 << 20
 #: Bytes to which multikey quicksort goes before blind tries take over.
 SHALLOW = 24
 #: Suffixes sorted at a time (a larger group of one anchor stays whole).
-SORT_BLOCK = 400_000
+SORT_BLOCK = 200_000
 
 U64 = np.uint64
 _FULL = U64(1 << 63)
-_NO_ID = np.iinfo(np.int64).max
+#: Bits of an anchor hash that are sent: enough to meet by, as contexts are compared in full.
+_HASH = U64(0xFFFFFFFFFFFF0000)
 
 
 # --- deep-shallow sorting -------------------------------------------------
@@ -63,20 +62,13 @@ def _word(buffer: np.ndarray, at: np.ndarray, depth: int, length: int) -> np.nda
     return out
 
 
-def _runs(key: np.ndarray) -> np.ndarray:
-    """Start of each run of equal values."""
-    if not len(key):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-
-
 def multikey_quicksort(buffer: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order suffixes by (group, first ``depth`` bytes); returns the order and the new group of
     each place.  Only groups of two or more take part in a further step."""
     order = np.argsort(group, kind="stable")
     g = group[order]
     for d in range(0, depth, 8):
-        start = _runs(g)
+        start = B.runs(g)
         size = np.diff(np.append(start, len(g)))
         open_ = np.repeat(size > 1, size)
         where = np.flatnonzero(open_)
@@ -104,7 +96,7 @@ def blind_tries(buffer: np.ndarray, at: np.ndarray, order: np.ndarray, group: np
     leaves the leaf's path and into which branch it falls; suffixes that reach the leaf's end are
     equal to it.  Branches before, at and behind the leaf are laid out in byte order."""
     while True:
-        start = _runs(group)
+        start = B.runs(group)
         size = np.diff(np.append(start, len(group)))
         todo = size > 1
         if not todo.any():
@@ -200,29 +192,28 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             valid[a : b - LENGTH + 1] = True
     string = np.flatnonzero(valid)
     at = (low[string] & U64(0xFFFFFFFF)).astype(np.int64)
-    first = _runs(at)
+    first = B.runs(at)
     last = np.append(first[1:], len(at)) - 1
     position = at[first] if len(at) else z
     return h[position], position, np.searchsorted(off, position, "right") - 1, string[first], string[last]
 
 
-def contexts(data: np.ndarray, off: np.ndarray, position: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, left, right): the CONTEXT bytes around each anchor, zero outside its row, and how
-    many of them lie inside on either side of the gram."""
+def contexts(data: np.ndarray, position: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The bytes of the strings first..last of each anchor, at fixed places around its gram, and
+    zeros elsewhere."""
     padded = np.concatenate([np.zeros(SPAN, np.uint8), data, np.zeros(SPAN, np.uint8)])
-    out = padded[position[:, None] + np.arange(CONTEXT)]
-    left = np.minimum(position - off[row], SPAN)
-    right = np.minimum(off[row + 1] - position - GRAM, SPAN)
-    column = np.arange(CONTEXT)
-    edge = np.flatnonzero((left < SPAN) | (right < SPAN))
-    if len(edge):
-        inside = (column >= SPAN - left[edge, None]) & (column < SPAN + GRAM + right[edge, None])
-        out[edge] *= inside.astype(np.uint8)
-    return out, left.astype(np.uint8), right.astype(np.uint8)
-
-
-def _context_key(ctx: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    h = left.astype(U64) << U64(8) | right
+    column = np.arange(CONTEXT, dtype=np.int16)
+    out = np.empty((len(position), CONTEXT), np.uint8)
+    for lo in range(0, len(position), 8192):
+        part = slice(lo, lo + 8192)
+        begin = (SPAN - (position[part] - first[part])).astype(np.int16)[:, None]
+        end = (SPAN + LENGTH - (position[part] - last[part])).astype(np.int16)[:, None]
+        out[part] = padded[position[part, None] + column] * ((column >= begin) & (column < end))
+    return out
+
+
+def _context_key(ctx: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    h = low.astype(U64) << U64(8) | high
     words = np.ascontiguousarray(np.pad(ctx, ((0, 0), (0, -CONTEXT % 8)))).view("<u8")
     for i in range(words.shape[1]):
         h = (h ^ words[:, i]) * U64(0x9E3779B97F4A7C15)
@@ -230,50 +221,19 @@ def _context_key(ctx: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
     return K.mix(h)
 
 
-_ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("id", "<i8"), ("left", "u1"), ("right", "u1"), ("low", "u1"), ("high", "u1"), ("ctx", "u1", (CONTEXT,))])
+_ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("id", "<i8"), ("low", "u1"), ("high", "u1"), ("ctx", "u1", (CONTEXT,))])
 
 
 def _same_entry(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which neighbours have equal keys; equal keys of different contexts fail the job."""
     same = (a["h"] == b["h"]) & (a["c"] == b["c"])
-    if (a["ctx"][same] != b["ctx"][same]).any() or (a["left"][same] != b["left"][same]).any():
+    if (a["ctx"][same] != b["ctx"][same]).any() or (a["low"][same] != b["low"][same]).any() or (a["high"][same] != b["high"][same]).any():
         raise RuntimeError("two contexts have one 64-bit key; use another seed")
     return same
 
 
-class _Bucket:
-    """The texts of one bucket, each distinct text once."""
-
-    def __init__(self, table: pa.Table) -> None:
-        ids = table.column("id").to_pylist()
-        self.ids = np.array([_NO_ID if i is None else int(i) for i in ids], np.int64)
-        self.id_column = table.column("id")
-        column = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        self.data, self.off = K.buffers(column)
-        raw = memoryview(self.data)
-        first: dict[bytes, int] = {}
-        self.text_of = np.zeros(len(ids), np.int64)
-        distinct: list[int] = []
-        for i in range(len(ids)):
-            text = bytes(raw[self.off[i] : self.off[i + 1]])
-            k = first.setdefault(text, len(distinct))
-            if k == len(distinct):
-                distinct.append(i)
-            self.text_of[i] = k
-        self.rows = np.array(distinct, np.int64)
-        self.text_id = np.full(len(distinct), _NO_ID, np.int64)
-        np.minimum.at(self.text_id, self.text_of, self.ids)
-
-    def slices(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first distinct text, end, bytes, offsets) of about a slice each."""
-        size = self.off[self.rows + 1] - self.off[self.rows]
-        lo, n = 0, len(self.rows)
-        total = np.concatenate([[0], np.cumsum(size)])
-        while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + K.SLICE_BYTES, "right")) - 1)
-            data = np.concatenate([self.data[self.off[r] : self.off[r + 1]] for r in self.rows[lo:hi]])
-            yield lo, hi, data, total[lo : hi + 1] - total[lo]
-            lo = hi
+class _Bucket(B.Bucket):
+    """A bucket with its contexts."""
 
     def shared(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(entries, entry of each occurrence, occurrences): distinct contexts whose anchor hash is
@@ -282,15 +242,15 @@ class _Bucket:
         for lo, _, data, off in self.slices():
             h, position, row, first, last = anchors(data, off)
             if len(known):
-                place = np.minimum(np.searchsorted(known, h & ~U64(1)), len(known) - 1)
-                hit = np.flatnonzero(known[place] == (h & ~U64(1)))
+                place = np.minimum(np.searchsorted(known, h & _HASH), len(known) - 1)
+                hit = np.flatnonzero(known[place] == h & _HASH)
             else:
                 hit = np.zeros(0, np.int64)
             h, position, row, first, last = h[hit], position[hit], row[hit], first[hit], last[hit]
             e = np.zeros(len(hit), _ENTRY)
-            e["ctx"], e["left"], e["right"] = contexts(data, off, position, row)
-            e["h"], e["c"] = h & ~U64(1), _context_key(e["ctx"], e["left"], e["right"])
+            e["ctx"] = contexts(data, position, first, last)
             e["low"], e["high"] = position - last, position - first
+            e["h"], e["c"] = h & _HASH, _context_key(e["ctx"], e["low"], e["high"])
             e["id"] = self.text_id[lo + row]
             entries.append(e)
             where.append(np.column_stack([lo + row, position - off[row], first - off[row], last - off[row]]))
@@ -311,32 +271,6 @@ class _Bucket:
         return out, own, w
 
 
-def _pack(raw: bytes) -> bytes:
-    return pa.Codec("zstd", 1).compress(raw, asbytes=True)
-
-
-def _unpack(raw: bytes, size: int) -> bytes:
-    return pa.Codec("zstd").decompress(raw, decompressed_size=size, asbytes=True)
-
-
-def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    """Hash range of each hash, ascending with it."""
-    return ((h >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-
-
-_SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("block", pa.binary())])
-_SENT_DDL = "part int, bucket int, n int, block binary"
-
-
-def _blocks(key: np.ndarray, payload: np.ndarray, parts: int, bucket: int, squeeze: bool) -> pa.Table:
-    """One row per hash range; ``payload`` is ordered as ``key``, which is ascending."""
-    part = _part(key, parts)
-    start = _runs(part)
-    end = np.append(start[1:], len(part))
-    rows = [payload[a:b].tobytes() for a, b in zip(start, end, strict=True)]
-    return pa.table([pa.array(part[start].astype(np.int32)), pa.array(np.full(len(start), bucket, np.int32)), pa.array((end - start).astype(np.int32)), pa.array([_pack(r) for r in rows] if squeeze else rows, pa.binary())], schema=_SENT)
-
-
 def verdicts(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For contexts ordered by (h, c), as sent by all buckets of a hash range: the smallest id that
     has the same context, and the strings (a bit per offset) that some other context with a still
@@ -365,7 +299,7 @@ def verdicts(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             buffer = np.ascontiguousarray(distinct["ctx"][lo:hi]).ravel()
             at = (ctx - lo) * CONTEXT + SPAN - offset
             order, same = deep_shallow_sort(buffer, at, LENGTH, group[ctx] * (SPAN + 1) + offset)
-            first = _runs(same)
+            first = B.runs(same)
             size = np.diff(np.append(first, len(same)))
             smallest = np.repeat(np.minimum.reduceat(least[ctx[order]], first), size)
             hit = smallest < least[ctx[order]]
@@ -403,13 +337,13 @@ def whole_characters(text: np.ndarray, covered: np.ndarray) -> np.ndarray:
     return np.bincount(char, covered)[char] == size[char]
 
 
-def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES) -> DataFrame:
     """``docs`` with the text cut to its kept characters; other columns as they are.  A null text
     becomes empty."""
     return _plan(docs, id_col, text_col, bucket_bytes, False)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES) -> DataFrame:
     """(id, n_bytes, spans, kept): the removed byte spans, maximal and ascending, and the kept bytes.
 
     A null text is empty.  A null id counts as larger than every id and as equal to other nulls;
@@ -418,51 +352,47 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, spans_wanted: bool) -> DataFrame:
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(8, -(-int(total) // bucket_bytes))
-    parts = buckets
+    source, parts = B.deal(docs, id_col, text_col, bucket_bytes, passed=not spans_wanted)
     passed = [f for f in docs.schema.fields if not spans_wanted and f.name not in (id_col, text_col)]
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f.name).alias(f"passed_{i}") for i, f in enumerate(passed))).withColumn("bucket", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(buckets)).cast("int"))
 
     def send_hashes(table: pa.Table) -> pa.Table:
         bucket = _Bucket(table)
         seen = []
         for lo, _, data, off in bucket.slices():
             h, _, row, _, _ = anchors(data, off)
-            by = np.lexsort((row, h))
-            h, row = h[by] & ~U64(1), row[by]
+            by = np.lexsort((row, h & _HASH))
+            h, row = h[by] & _HASH, row[by]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            seen.append((h[new]))
+            seen.append(h[new])
         h, count = np.unique(np.concatenate([np.zeros(0, U64), *seen]), return_counts=True)
-        return _blocks(h, h | (count > 1).astype(U64), parts, table.column("bucket")[0].as_py(), False)
+        return B.blocks(h, h | (count > 1).astype(U64) << U64(15), parts, table.column("bucket")[0].as_py(), B.pack_sorted)
 
     def meet(table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_numpy()
-        h = np.frombuffer(b"".join(table.column("block").to_pylist()), U64)
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        plain = h & ~U64(1)
+        h = np.concatenate([B.unpack_sorted(b) for b in table.column("block").to_pylist()])
+        plain = h & _HASH
         by = np.argsort(plain, kind="stable")
-        start = _runs(plain[by])
+        start = B.runs(plain[by])
         size = np.diff(np.append(start, len(by)))
-        wanted = np.repeat((size > 1) | (np.bitwise_or.reduceat(h[by], start) & U64(1) != 0), size)
+        wanted = np.repeat((size > 1) | (np.bitwise_or.reduceat(h[by], start) & ~_HASH != 0), size)
         take = np.zeros(len(h), bool)
         take[by[wanted]] = True
         rows = [plain[a:b][take[a:b]] for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)]
-        return pa.table([table.column("part").combine_chunks(), table.column("bucket").combine_chunks(), pa.array([len(r) for r in rows], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], schema=_SENT)
+        return pa.table([table.column("part").combine_chunks(), table.column("bucket").combine_chunks(), pa.array([len(r) for r in rows], pa.int32()), pa.array([B.pack_sorted(r) for r in rows], pa.binary())], schema=B.SENT)
 
     def known_of(table: pa.Table) -> np.ndarray:
-        return np.sort(np.frombuffer(b"".join(table.column("block").to_pylist()), U64))
+        return np.sort(np.concatenate([np.zeros(0, U64), *(B.unpack_sorted(b) for b in table.column("block").to_pylist())]))
 
     def send_contexts(texts: pa.Table, hashes: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return _SENT.empty_table()
+            return B.SENT.empty_table()
         entries, _, _ = _Bucket(texts).shared(known_of(hashes))
-        return _blocks(entries["h"], entries, parts, texts.column("bucket")[0].as_py(), True)
+        return B.blocks(entries["h"], entries, parts, texts.column("bucket")[0].as_py(), lambda e: B.pack(e.tobytes()))
 
     def judge(table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_numpy()
-        entries = np.concatenate([np.frombuffer(_unpack(b, n * _ENTRY.itemsize), _ENTRY) for b, n in zip(table.column("block").to_pylist(), sizes.tolist(), strict=True)])
+        entries = np.concatenate([np.frombuffer(B.unpack(b, n * _ENTRY.itemsize), _ENTRY) for b, n in zip(table.column("block").to_pylist(), sizes.tolist(), strict=True)])
         by = np.lexsort((entries["c"], entries["h"]))
         ids = entries["id"].copy()
         entries = entries[by]
@@ -470,7 +400,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, spans_
         out = np.empty(len(by), U64)
         out[by] = np.where(least < ids[by], _FULL, mask)
         rows = [out[a:b].tobytes() for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)]
-        return pa.table([table.column("part").combine_chunks(), table.column("bucket").combine_chunks(), table.column("n").combine_chunks(), pa.array([_pack(r) for r in rows], pa.binary())], schema=_SENT)
+        return pa.table([table.column("part").combine_chunks(), table.column("bucket").combine_chunks(), table.column("n").combine_chunks(), pa.array([B.pack(r) for r in rows], pa.binary())], schema=B.SENT)
 
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     if spans_wanted:
@@ -487,7 +417,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, spans_
         known = known_of(replies.filter(pa.array(~answered)))
         entries, own, where = bucket.shared(known)
         back = replies.filter(pa.array(answered)).sort_by("part")
-        verdict = np.frombuffer(b"".join(_unpack(b, 8 * n) for b, n in zip(back.column("block").to_pylist(), back.column("n").to_pylist(), strict=True)), U64)
+        verdict = np.frombuffer(b"".join(B.unpack(b, 8 * n) for b, n in zip(back.column("block").to_pylist(), back.column("n").to_pylist(), strict=True)), U64)
         covered, base = _cut(bucket, entries, own, where, verdict)
         spans, kept = [], []
         for k in range(len(bucket.rows)):
@@ -510,9 +440,9 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, spans_
         return pa.table([bucket.id_column, pa.array(n), pa.array(out_spans, span_type), pa.array(out_kept, pa.binary())], names=result.names)
 
     by_bucket = source.groupBy("bucket")
-    met = by_bucket.applyInArrow(send_hashes, _SENT_DDL).groupBy("part").applyInArrow(meet, _SENT_DDL)
+    met = by_bucket.applyInArrow(send_hashes, B.SENT_DDL).groupBy("part").applyInArrow(meet, B.SENT_DDL)
     known = met.filter("n > 0")
-    judged = by_bucket.cogroup(known.groupBy("bucket")).applyInArrow(send_contexts, _SENT_DDL).groupBy("part").applyInArrow(judge, _SENT_DDL)
+    judged = by_bucket.cogroup(known.groupBy("bucket")).applyInArrow(send_contexts, B.SENT_DDL).groupBy("part").applyInArrow(judge, B.SENT_DDL)
     replies = known.withColumn("answered", F.lit(False)).unionByName(judged.withColumn("answered", F.lit(True)))
     out = by_bucket.cogroup(replies.groupBy("bucket")).applyInArrow(cut_texts, result)
     if spans_wanted:
