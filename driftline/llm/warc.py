@@ -241,7 +241,7 @@ def _gzip_record(source: _Source, wanted: object, payload: bool) -> Iterator:
             plain = b""
             if not more(1 << 20):
                 break
-        total = fed - len(z.unused_data) - len(z.unconsumed_tail)
+        total = fed - len(z.unused_data)
     source.skip(total)
 
 
@@ -289,9 +289,11 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if partition is None:  # an archive without files
+            return
         schema = to_arrow_schema(self.schema)
         names = schema.names
         system, _ = _open(self.path)
