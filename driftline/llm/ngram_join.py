@@ -5,18 +5,19 @@ similarity at least t share a token among the first n - ceil(t*n) + 1 of each,
 under any one order of all tokens.  Documents with equal sets form a class;
 classes are the nodes of the join.
 
-1. Keys: (id, size, 128-bit key of the set) of every document.
-2. Order by hash: prefix tokens are counted; tokens in many prefixes are known
-   as crowded.
-3. First order: crowded tokens last, the others by hash.  Prefix tokens are
-   shuffled by token; a token shared by few nodes gives all their pairs, one
-   shared by many gives pairs with its smallest node only.  How many prefix
-   tokens a pair shares bounds its overlap; pairs below the bound go.
-4. The pairs' prefixes under two more orders (other hashes, crowded tokens
-   last again) must meet as well: the filters are intersected before anything
-   is verified.
-5. Survivors are verified by exact set intersection; links give components.
-6. Tokens shared by many nodes: nodes that are still in different components
+1. Frequencies: documents are dealt into buckets; buckets exchange their token
+   hashes in blocks and learn, for each token that occurs in another text too,
+   in how many.  All orders put rare tokens first.  Tokens of one text only can
+   match nothing, so a text whose prefix holds no others takes no further part.
+2. First order: frequency, then hash.  Prefix tokens meet by token; a token
+   shared by few nodes gives all their pairs, one shared by many gives pairs
+   with its smallest node only.  How many prefix tokens a pair shares bounds
+   its overlap; pairs below the bound go.
+3. The pairs' prefixes under two more orders (frequency, then other hashes)
+   must share enough tokens as well: the filters are intersected before
+   anything is verified.
+4. Survivors are verified by exact set intersection; links give components.
+5. Tokens shared by many nodes: nodes that are still in different components
    meet under the second order, and the pairs across components are verified
    likewise.  Pairs inside a component need no check, so a group of thousands
    of near copies costs a star, not a square, and no link between components
@@ -25,28 +26,25 @@ classes are the nodes of the join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from driftline.llm import buckets as B
 from driftline.llm import kernels as K
 from driftline.llm.common import cut
 from driftline.llm.components import components
 
-#: Prefixes that hold a token, from which on it counts as crowded.
-CROWDED = 6
-#: Bound of the broadcast table of crowded tokens; the most crowded are taken.  It bounds the
-#: orders' quality, not the result: any order is exact.
-MAX_CROWDED = 200_000
 #: Nodes of a token up to which all pairs are formed.
 SMALL = 16
 #: Seeds of the second and third order.
 ORDER_SEEDS = (0x51ED270B7F4A7C15, 0xA24BAED4963EE407)
+#: Bits of a token that buckets exchange.  Tokens that agree on them count as one in frequencies,
+#: which only shape the orders.
+_HASH = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 @dataclass(frozen=True)
@@ -83,103 +81,100 @@ def set_keys(token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-class Known:
-    """Membership test of a bounded, sorted set of tokens."""
-
-    BITS = 22
-
-    def __init__(self, tokens: np.ndarray) -> None:
-        self.tokens = np.sort(tokens)
-        self.maybe = np.zeros(1 << self.BITS, bool)
-        self.maybe[self.tokens >> np.uint64(64 - self.BITS)] = True
-
-    def holds(self, token: np.ndarray) -> np.ndarray:
-        out = self.maybe[token >> np.uint64(64 - self.BITS)]
-        at = np.flatnonzero(out)
-        if len(at):
-            place = np.minimum(np.searchsorted(self.tokens, token[at]), len(self.tokens) - 1)
-            out[at] = self.tokens[place] == token[at]
-        return out
-
-
-def ordered(token: np.ndarray, row: np.ndarray, sizes: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """Place of each entry in its row under "late ones behind the others, each by value"; entries
-    are ascending by (row, value)."""
-    plain = np.concatenate([[0], np.cumsum(~late)])
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    early = (plain[begin[1:]] - plain[begin[:-1]])[row]
-    before = plain[:-1] - plain[begin[row]]
-    return np.where(late, early + np.arange(len(row)) - begin[row] - before, before)
-
-
-def keys(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, check) of each row."""
-    id_type = docs.schema[id_col].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, off in K.slices(batch.column(1)):
-                token, _, sizes = shingle_sets(data, off, rule.k)
-                node, check = set_keys(token, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(node), pa.array(check)], ["id", "n", "node", "check"])
-
-    longs = [T.StructField(c, T.LongType()) for c in ("n", "node", "check")]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, T.StructType([T.StructField("id", id_type), *longs]))
-
-
-def postings(docs: DataFrame, rule: Rule, text_col: str, crowded: np.ndarray) -> DataFrame:
-    """(token, node, n) of the prefixes.  Copies within a task's input post once."""
-    sent = docs.sparkSession.sparkContext.broadcast(crowded)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(sent.value)
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, data, off in K.slices(batch.column(0)):
-                token, row, sizes = shingle_sets(data, off, rule.k)
-                node, _ = set_keys(token, sizes)
-                fresh = np.zeros(len(sizes), bool)
-                for i, key in enumerate(node.tolist()):
-                    if key not in seen:
-                        seen.add(key)
-                        fresh[i] = True
-                late = known.holds(token)
-                take = (ordered(token, row, sizes, late) < prefix_length(sizes, rule)[row]) & fresh[row]
-                own = row[take]
-                yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(node[own]), pa.array(sizes[own].astype(np.int32))], ["token", "node", "n"])
-            if len(seen) > 1 << 20:
-                seen.clear()
-
-    return docs.select(text_col).mapInArrow(run, "token long, node long, n int")
-
-
-def sets(docs: DataFrame, rule: Rule, text_col: str, crowded: np.ndarray) -> DataFrame:
-    """(node, n, second, third, tokens): prefixes under the further orders, and the whole set.
-    Tokens of the further orders go by their other hashes."""
-    sent = docs.sparkSession.sparkContext.broadcast(crowded)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = [Known(K.mix(sent.value ^ np.uint64(seed))) for seed in ORDER_SEEDS]
-        for batch in batches:
-            for _, _, data, off in K.slices(batch.column(0)):
-                token, row, sizes = shingle_sets(data, off, rule.k)
-                node, _ = set_keys(token, sizes)
-                ends, length = np.cumsum(sizes), prefix_length(sizes, rule)
-                columns = [pa.array(node), pa.array(sizes.astype(np.int32))]
-                for seed, known in zip(ORDER_SEEDS, orders, strict=True):
-                    other = K.sort_rows(K.mix(token ^ np.uint64(seed)), ends)
-                    take = ordered(other, row, sizes, known.holds(other)) < length[row]
-                    stops = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(stops), pa.array(other[take].view(np.int64))))
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(token.view(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "second", "third", "tokens"])
-
-    return docs.select(text_col).mapInArrow(run, "node long, n int, second array<long>, third array<long>, tokens array<long>")
-
-
-def _sizes_fit(a: Column, b: Column, rule: Rule) -> Column:
-    """Sizes that allow the similarity."""
-    return F.least(a, b) * rule.of >= F.greatest(a, b) * rule.least
+def frequency_class(count: np.ndarray) -> np.ndarray:
+    """0 for a token of one text, then steps of an eighth of a doubling, at most 255."""
+    return np.minimum(255, np.round(8 * np.log2(np.maximum(count, 1)))).astype(np.uint64)
+
+
+def _exchange(source: DataFrame, rule: Rule, parts: int) -> DataFrame:
+    """Rows of ``buckets.SENT`` per bucket: the hashes of its tokens that occur in several texts, each
+    block followed by the tokens' frequency classes."""
+
+    def send(table: pa.Table) -> pa.Table:
+        tokens = [shingle_sets(data, off, rule.k)[0] & _HASH for _, _, data, off in B.Bucket(table).slices()]
+        token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *tokens]), return_counts=True)
+        payload = np.zeros(len(token), [("t", "<u8"), ("c", "u1")])
+        payload["t"], payload["c"] = token, np.minimum(count, 255)
+        return B.blocks(token, payload, parts, table.column("bucket")[0].as_py(), lambda p: p["c"].tobytes() + B.pack_sorted(p["t"]))
+
+    def meet(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_numpy()
+        raw = table.column("block").to_pylist()
+        token = np.concatenate([B.unpack_sorted(b[n:]) for b, n in zip(raw, sizes.tolist(), strict=True)])
+        count = np.concatenate([np.frombuffer(b, np.uint8, n) for b, n in zip(raw, sizes.tolist(), strict=True)]).astype(np.int64)
+        by = np.argsort(token, kind="stable")
+        start = B.runs(token[by])
+        total = np.empty(len(token), np.int64)
+        total[by] = np.repeat(np.add.reduceat(count[by], start), np.diff(np.append(start, len(by))))
+        out, kept = [], []
+        for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+            several = total[a:b] > 1
+            out.append(frequency_class(total[a:b][several]).astype(np.uint8).tobytes() + B.pack_sorted(token[a:b][several]))
+            kept.append(int(several.sum()))
+        return pa.table([table.column("part").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(kept, pa.int32()), pa.array(out, pa.binary())], schema=B.SENT)
+
+    sent = source.groupBy("bucket").applyInArrow(send, B.SENT_DDL)
+    return sent.groupBy("part").applyInArrow(meet, B.SENT_DDL).filter("n > 0")
+
+
+_NODE_DDL = "id long, bucket int, n long, node long, check long, several int, first array<long>, second array<long>, third array<long>, tokens array<long>"
+
+
+def nodes(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """(id, bucket, n, node, check, several, first, second, third, tokens) of each row.
+
+    ``several`` counts the tokens that occur in other texts too; ``first`` to ``third`` are the prefixes under the three orders without tokens of one text, and
+    ``tokens`` the whole set; they are there once per distinct text of a bucket, and only if enough
+    of its tokens occur elsewhere for a link."""
+    source, parts = B.deal(docs, id_col, text_col)
+    known = _exchange(source, rule, parts)
+
+    def build(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        bucket = B.Bucket(texts)
+        raw = list(zip(replies.column("block").to_pylist(), replies.column("n").to_pylist(), strict=True))
+        shared = np.concatenate([np.zeros(0, np.uint64), *(B.unpack_sorted(b[n:]) for b, n in raw)])
+        level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(b, np.uint8, n) for b, n in raw)])
+        by = np.argsort(shared, kind="stable")
+        shared, level = shared[by], level[by]
+        sizes_of, node_of, check_of = (np.zeros(len(bucket.rows), np.int64) for _ in range(3))
+        lists: dict[int, list[np.ndarray]] = {}
+        for lo, hi, data, off in bucket.slices():
+            token, row, sizes = shingle_sets(data, off, rule.k)
+            node, check = set_keys(token, sizes)
+            sizes_of[lo:hi], node_of[lo:hi], check_of[lo:hi] = sizes, node, check
+            own = np.zeros(len(token), np.uint64)
+            if len(shared) and len(token):
+                place = np.minimum(np.searchsorted(shared, token & _HASH), len(shared) - 1)
+                own = np.where(shared[place] == token & _HASH, level[place], 0).astype(np.uint64)
+            several = np.bincount(row[own > 0], minlength=hi - lo)
+            open_ = np.flatnonzero((sizes > 0) & (several * rule.of >= sizes * rule.least))
+            ends = np.cumsum(sizes)
+            for r in open_.tolist():
+                a, b = int(ends[r] - sizes[r]), int(ends[r])
+                first = int(prefix_length(sizes[r : r + 1], rule)[0])
+                high = own[a:b] << np.uint64(56)
+                orders = []
+                for seed in (0, *ORDER_SEEDS):
+                    value = high | (K.mix(token[a:b] ^ np.uint64(seed)) if seed else token[a:b]) >> np.uint64(8)
+                    value.sort()
+                    value = value[:first]
+                    orders.append(value[value >> np.uint64(56) > 0])
+                lists[lo + r] = [int(several[r]), *orders, token[a:b]]
+        at = bucket.text_of
+        once = np.full(len(bucket.rows), -1)
+        once[at[::-1]] = np.arange(len(at))[::-1]  # the first row of each text carries its lists
+        bearer = [lists.get(int(k)) if once[k] == i else None for i, k in enumerate(at.tolist())]
+        columns = [pa.array([None if x is None else x[0] for x in bearer], pa.int32())]
+        columns += [pa.array([None if x is None else x[j].view(np.int64) for x in bearer], pa.list_(pa.int64())) for j in range(1, 5)]
+        return pa.table([bucket.id_column, texts.column("bucket"), pa.array(sizes_of[at]), pa.array(node_of[at]), pa.array(check_of[at]), *columns], names=["id", "bucket", "n", "node", "check", "several", "first", "second", "third", "tokens"])
+
+    return source.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(build, _NODE_DDL)
+
+
+def _can_link(na: Column, sa: Column, nb: Column, sb: Column, rule: Rule) -> Column:
+    """Whether sizes, and numbers of tokens that occur elsewhere at all, allow the similarity."""
+    sizes = F.least(na, nb) * rule.of >= F.greatest(na, nb) * rule.least
+    return sizes & (F.least(sa, sb) * (rule.of + rule.least) >= (na + nb) * rule.least)
 
 
 def _overlap_fits(na: Column, nb: Column, shared: Column, rule: Rule) -> Column:
@@ -194,11 +189,12 @@ def _pairs(shared: DataFrame, rule: Rule) -> DataFrame:
     others.  The common prefix tokens of a pair are the small tokens that gave it and, at most, the
     lesser of its nodes' numbers of tokens with many nodes."""
     large = shared.filter(F.col("shared_by") > SMALL)
-    members = shared.filter(F.col("shared_by") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("m"))
-    ok = lambda x, y: (x["node"] < y["node"]) & _sizes_fit(x["n"], y["n"], rule)
+    members = shared.filter(F.col("shared_by") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n", "s"))).alias("m"))
+    ok = lambda x, y: (x["node"] < y["node"]) & _can_link(x["n"], x["s"], y["n"], y["s"], rule)
     nested = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: ok(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))))
     small = members.select(F.explode(F.flatten(nested)).alias("p")).select("p.*", F.lit(1).alias("c"))
-    star = large.filter((F.col("node") != F.col("least_node")) & _sizes_fit(F.col("n"), F.col("least_n"), rule)).select(F.col("least_node").alias("a"), F.col("node").alias("b"), F.col("least_n").alias("na"), F.col("n").alias("nb"), F.lit(0).alias("c"))
+    hub = F.col("hub")
+    star = large.filter((F.col("node") != hub["node"]) & _can_link(F.col("n"), F.col("s"), hub["n"], hub["s"], rule)).select(hub["node"].alias("a"), F.col("node").alias("b"), hub["n"].alias("na"), F.col("n").alias("nb"), F.lit(0).alias("c"))
     counted = small.union(star).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
     many = large.groupBy("node").agg(F.count("*").alias("many"))
     counted = counted.join(many.select(F.col("node").alias("a"), F.col("many").alias("many_a")), "a", "left").join(many.select(F.col("node").alias("b"), F.col("many").alias("many_b")), "b", "left")
@@ -207,11 +203,12 @@ def _pairs(shared: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _links(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs whose further prefixes meet and whose sets are similar enough."""
-    orders = held.select("node", "second", "third")
-    left = pairs.join(orders.select(F.col("node").alias("a"), F.col("second").alias("second_a"), F.col("third").alias("third_a")), "a")
-    both = left.join(orders.select(F.col("node").alias("b"), F.col("second").alias("second_b"), F.col("third").alias("third_b")), "b")
-    passed = both.filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+    """Pairs whose further prefixes share enough and whose sets are similar enough."""
+    orders = held.select("node", "n", "second", "third")
+    left = pairs.join(orders.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("second").alias("second_a"), F.col("third").alias("third_a")), "a")
+    both = left.join(orders.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("second").alias("second_b"), F.col("third").alias("third_b")), "b")
+    enough = lambda x: _overlap_fits(F.col("na"), F.col("nb"), F.size(F.array_intersect(f"{x}_a", f"{x}_b")), rule)
+    passed = both.filter(enough("second") & enough("third")).select("a", "b")
     whole = held.select("node", "tokens")
     left = passed.join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a")
     both = left.join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b")
@@ -220,13 +217,20 @@ def _links(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _across(open_nodes: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b) of different components that share enough prefix tokens of the second order.  Sizes
-    fall into geometric bands, so a token's nodes meet only those of a neighbouring band."""
-    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(rule.least / rule.of)))
-    second = open_nodes.join(held.select("node", "n", "second"), "node").select("node", "n", "root", F.explode("second").alias("token"), band.alias("band"))
-    x = second.select(*(F.col(c).alias(f"{c}_x") for c in second.columns))
-    y = second.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") + 1)))
-    met = x.join(y, (F.col("token_x") == F.col("token")) & (F.col("band_x") == F.col("band"))).filter((F.col("node_x") < F.col("node")) & (F.col("root_x") != F.col("root")) & _sizes_fit(F.col("n_x"), F.col("n"), rule))
+    """(a, b) of different components that share enough prefix tokens of the second order.
+
+    Sizes fall into geometric bands, four to the widest ratio allowed.  A node looks only into the
+    bands where its number of tokens that occur elsewhere can reach the overlap, so a copy with too
+    many words of its own meets nobody of its size."""
+    step = float(-np.log(rule.least / rule.of)) / 4
+    band = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+    second = open_nodes.join(held.select("node", "n", "s", "second"), "node").withColumn("band", band)
+    reach = F.filter(F.sequence(F.col("band") - 5, F.col("band") + 5), lambda b: F.col("s") * (rule.of + rule.least) >= (F.col("n") + F.exp(b * step) * 0.999999) * rule.least)
+    y = second.select("node", "n", "s", "root", "band", F.explode("second").alias("token"))
+    x = second.select("node", "n", "s", "root", "second", F.explode(reach).alias("band")).select("node", "n", "s", "root", "band", F.explode("second").alias("token"))
+    x = x.select(*(F.col(c).alias(f"{c}_x") for c in x.columns))
+    same = (F.col("token_x") == F.col("token")) & (F.col("band_x") == F.col("band"))
+    met = x.join(y, same & (F.col("node_x") < F.col("node")) & (F.col("root_x") != F.col("root")) & _can_link(F.col("n_x"), F.col("s_x"), F.col("n"), F.col("s"), rule))
     counted = met.groupBy(F.col("node_x").alias("a"), F.col("node").alias("b")).agg(F.first("n_x").alias("na"), F.first("n").alias("nb"), F.count("*").alias("c"))
     return counted.filter(_overlap_fits(F.col("na"), F.col("nb"), F.col("c"), rule)).select("a", "b")
 
@@ -242,29 +246,30 @@ class Joined:
 
 
 def similarity_join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> Joined:
-    known = cut(keys(docs, rule, id_col, text_col))
-    classes = known.filter("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.min("check").alias("check"), F.max("check").alias("check_to"))
+    found = cut(nodes(docs, rule, id_col, text_col))
+    known = found.select("id", "n", "node", "check")
+    classes = known.filter("n > 0").groupBy("node").agg(F.min("check").alias("check"), F.max("check").alias("check_to"))
     if classes.filter("check != check_to").limit(1).count():
         raise RuntimeError("two different shingle sets have one 64-bit key; use another seed")
 
-    by_hash = postings(docs, rule, text_col, np.zeros(0, np.uint64)).groupBy("token").agg(F.count("*").alias("held"))
-    often = by_hash.filter(F.col("held") >= CROWDED).orderBy(F.desc("held"), "token").limit(MAX_CROWDED).select("token").toArrow()
-    crowded = often.column("token").to_numpy().view(np.uint64)
+    # one bearer per node: equal sets in several buckets are texts that differ in white space or
+    # case, or the salted copies of a hot text
+    bearers = found.filter("first is not null").select("node", "id", "bucket")
+    several = bearers.groupBy("node").agg(F.min(F.struct("bucket", "id")).alias("keep"), F.count("*").alias("bearers")).filter("bearers > 1")
+    held = found.filter("first is not null").select("node", "id", "bucket", F.col("n").cast("int").alias("n"), F.col("several").alias("s"), "first", "second", "third", "tokens")
+    if several.limit(1).count():
+        held = held.join(several.select("node", "keep"), "node", "left").filter("keep is null or (bucket <=> keep.bucket and id <=> keep.id)").dropDuplicates(["node"])
+    held = held.select("node", "n", "s", "first", "second", "third", "tokens")
 
     by_token = Window.partitionBy("token")
-    posted = postings(docs, rule, text_col, crowded)
-    single = posted.withColumn("before", F.lag("node").over(by_token.orderBy("node"))).filter("before is null or before != node").drop("before")
+    posted = held.select("node", "n", "s", F.explode("first").alias("token"))
     shared = cut(
-        single.withColumns({"shared_by": F.count("*").over(by_token), "least": F.min(F.struct("node", "n")).over(by_token)})
+        posted.withColumns({"shared_by": F.count("*").over(by_token), "hub": F.min(F.struct("node", "n", "s")).over(by_token)})
         .filter("shared_by > 1")
-        .select("token", "node", "n", "shared_by", F.col("least.node").alias("least_node"), F.col("least.n").alias("least_n"))
+        .select("token", "node", "n", "s", "shared_by", "hub")
     )
     large = shared.filter(F.col("shared_by") > SMALL)
     candidates = cut(_pairs(shared, rule))
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).union(large.select("node")).distinct()
-    first = wanted.join(classes, "node").select(F.col("first_id").alias("id")).distinct()
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col)).join(first.withColumnRenamed("id", "first_id"), F.col("id").eqNullSafe(F.col("first_id")), "left_semi").select(text_col)
-    held = cut(sets(chosen, rule, text_col, crowded))
     links = cut(_links(candidates, held, rule).distinct())
     roots = components(links)
 
