@@ -129,7 +129,7 @@ def debounce(incidents: DataFrame, gates: Gates = Gates(), scope: Sequence[str]
         F.min("start_time").alias("start_time"),
         F.max("end_time").alias("end_time"),
         F.sum("sample_count").alias("total_samples"),
-        F.avg("ground_percentage").alias("ground"),
+        F.avg(F.col("ground_percentage").cast("decimal(10,2)")).alias("ground"),  # exact, so that rounding is
         F.max("confidence_score").alias("confidence_score"),
         F.bool_or("has_roller_dial").alias("has_roller_dial"),
     )
@@ -143,7 +143,7 @@ def debounce(incidents: DataFrame, gates: Gates = Gates(), scope: Sequence[str]
         "end_time",
         F.least(F.col("end_time") - F.col("start_time"), F.lit(gates.cap_s)).cast("long").alias("duration_seconds"),
         "total_samples",
-        F.round("ground", 2).alias("ground_percentage"),
+        F.round("ground", 2).cast("double").alias("ground_percentage"),
         "confidence_score",
         "first.confidence_level",
         "has_roller_dial",

@@ -118,7 +118,7 @@ _SCORED = f"{_SAMPLES}, scored AS (SELECT *, {_SCORE} FROM placed)"
 _DEBOUNCE = """, gaps AS (SELECT *, start_time - LAG(end_time) OVER (PARTITION BY icao24, emergency_type ORDER BY start_time, incident_id) AS gap FROM inc),
 groups AS (SELECT *, SUM(CASE WHEN gap IS NULL OR gap > 259200 THEN 1 ELSE 0 END) OVER (PARTITION BY icao24, emergency_type ORDER BY start_time, incident_id ROWS UNBOUNDED PRECEDING) AS g FROM gaps),
 merged AS (SELECT icao24, emergency_type, g, arg_min(incident_id, (start_time, incident_id)) AS incident_id, arg_min(segment_id, (start_time, incident_id)) AS segment_id, MIN(start_time) AS start_time, MAX(end_time) AS end_time,
-LEAST(MAX(end_time) - MIN(start_time), 600000) AS duration_seconds, CAST(SUM(sample_count) AS BIGINT) AS total_samples, ROUND(AVG(ground_percentage), 2) AS ground_percentage, MAX(confidence_score) AS confidence_score,
+LEAST(MAX(end_time) - MIN(start_time), 600000) AS duration_seconds, CAST(SUM(sample_count) AS BIGINT) AS total_samples, ((2 * CAST(SUM(CAST(ROUND(ground_percentage * 100) AS BIGINT)) AS BIGINT) + COUNT(*)) // (2 * COUNT(*))) / 100 AS ground_percentage, MAX(confidence_score) AS confidence_score,
 arg_min(confidence_level, (start_time, incident_id)) AS confidence_level, arg_min(start_lat, (start_time, incident_id)) AS start_lat, arg_min(start_lon, (start_time, incident_id)) AS start_lon FROM groups GROUP BY icao24, emergency_type, g)"""
 
 
@@ -150,7 +150,7 @@ COUNT(DISTINCT CASE WHEN emergency_type = '7700' THEN incident_id END) AS incide
 tops AS (SELECT {k}, arg_min(emergency_type, (-n, emergency_type)) AS top FROM (SELECT {k}, emergency_type, COUNT(*) AS n FROM ic GROUP BY ALL) GROUP BY {k}),
 fl AS (SELECT {k}, COUNT(DISTINCT segment_id) AS unique_segments FROM cp GROUP BY {k}),
 dual AS (SELECT {k}, 3 AS h3_res, COALESCE(incidents_unique, 0) AS incidents_unique, COALESCE(aircraft_with_incidents, 0) AS aircraft_with_incidents, COALESCE(incidents_coverage, 0) AS incidents_coverage, COALESCE(unique_segments, 0) AS unique_segments,
-COALESCE(unique_segments, 0) AS total_segments, types, COALESCE(len(types), 0) AS emergency_type_diversity, top AS predominant_emergency_type, COALESCE(incidents_7500, 0) AS incidents_7500, COALESCE(incidents_7600, 0) AS incidents_7600,
+COALESCE(unique_segments, 0) AS total_segments, types, CAST(COALESCE(len(types), 0) AS INTEGER) AS emergency_type_diversity, top AS predominant_emergency_type, COALESCE(incidents_7500, 0) AS incidents_7500, COALESCE(incidents_7600, 0) AS incidents_7600,
 COALESCE(incidents_7700, 0) AS incidents_7700, CASE WHEN unique_segments > 0 THEN CAST(COALESCE(incidents_unique, 0) AS DOUBLE) / unique_segments END AS incident_rate
 FROM iu JOIN tops USING ({k}) FULL OUTER JOIN fl USING ({k}))"""
 
@@ -314,7 +314,7 @@ _PERIODS = f"{_relaxed('period, ')}{_dual('period, ')}"
 @query(f"""WITH {_PERIODS}, votes AS (SELECT h3_cell, unnest(types) AS type FROM dual), top2 AS (SELECT h3_cell, arg_min(type, (-n, type)) AS top, string_agg(type, ',' ORDER BY type) AS types, COUNT(*) AS diversity FROM (SELECT h3_cell, type, COUNT(*) AS n FROM votes GROUP BY ALL) GROUP BY h3_cell),
 s AS (SELECT h3_cell, h3_res, CAST(SUM(incidents_unique) AS BIGINT) AS incidents_unique, CAST(SUM(aircraft_with_incidents) AS BIGINT) AS aircraft_with_incidents, CAST(SUM(incidents_coverage) AS BIGINT) AS incidents_coverage, CAST(SUM(unique_segments) AS BIGINT) AS unique_segments,
 CAST(SUM(total_segments) AS BIGINT) AS total_segments, CAST(SUM(incidents_7500) AS BIGINT) AS incidents_7500, CAST(SUM(incidents_7600) AS BIGINT) AS incidents_7600, CAST(SUM(incidents_7700) AS BIGINT) AS incidents_7700 FROM dual GROUP BY ALL)
-SELECT s.*, COALESCE(diversity, 0) AS emergency_type_diversity, top AS predominant_emergency_type, COALESCE(types, '') AS types, CASE WHEN unique_segments > 0 THEN CAST(incidents_unique AS DOUBLE) / unique_segments END AS incident_rate FROM s LEFT JOIN top2 USING (h3_cell)""")
+SELECT s.*, CAST(COALESCE(diversity, 0) AS INTEGER) AS emergency_type_diversity, top AS predominant_emergency_type, COALESCE(types, '') AS types, CASE WHEN unique_segments > 0 THEN CAST(incidents_unique AS DOUBLE) / unique_segments END AS incident_rate FROM s LEFT JOIN top2 USING (h3_cell)""")
 def d14_merge_incidents(spark, sf_dir):
     found, pts = by_period(spark, sf_dir)
     daily = cells.dual_metrics(found, pts, RESOLUTION, by=("period",))
@@ -344,7 +344,7 @@ def d19_visibility(spark, sf_dir):
 
 @query(f"""WITH {_relaxed()}{_dual()}, cov AS (SELECT h3_cell, COUNT(DISTINCT segment_id) AS unique_segments, COUNT(DISTINCT icao24) AS unique_aircraft, COUNT(*) AS total_points FROM cp WHERE point_count >= 2 GROUP BY 1)
 SELECT CAST(c.h3_cell AS VARCHAR) AS h3_cell, c.unique_segments, c.unique_aircraft, c.total_points, d.incidents_unique, d.incident_rate, 5 AS corners,
-floor((c.h3_cell % 1000000000000) / 1000000) * 8 - 90 AS south, (c.h3_cell % 1000000) * 8 - 180.0 AS west FROM cov c LEFT JOIN dual d ON c.h3_cell = d.h3_cell""")
+floor((c.h3_cell % 1000000000000) / 1000000) * 8 - 90 AS south, CAST((c.h3_cell % 1000000) * 8 - 180 AS DOUBLE) AS west FROM cov c LEFT JOIN dual d ON c.h3_cell = d.h3_cell""")
 def d20_geojson(spark, sf_dir):
     pts = kept(spark, sf_dir)
     lines = export.geojson_lines(cells.coverage(pts, RESOLUTION), cells.dual_metrics(relaxed(pts), pts, RESOLUTION), RESOLUTION)
