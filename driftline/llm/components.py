@@ -8,6 +8,7 @@ shared checkpoint folder, so a lost executor never replays earlier rounds.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,16 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def spanning(near: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For a link matrix between the places ``a`` and ``b`` of n members, each member's smallest
+    place that its links reach.  Links to these places connect what all links would."""
+    label = np.arange(n)
+    while True:
+        old = label.copy()
+        label[a] = np.minimum(label[a], np.where(near, label[b][None, :], n).min(axis=1, initial=n))
+        label[b] = np.minimum(label[b], np.where(near, label[a][:, None], n).min(axis=0, initial=n))
+        label = label[label]
+        if (label == old).all():
+            return label

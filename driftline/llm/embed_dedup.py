@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import kernels as K
 from driftline.llm.common import cut
-from driftline.llm.components import components
+from driftline.llm.components import components, spanning
 
 #: Vectors of a block; a larger bucket or component is compared block against block.
 BLOCK = 512
@@ -161,17 +161,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     def span(table: pa.Table) -> pa.Table:
         """Links that connect the members of a bucket's two blocks as all their links would."""
         x, a, b = _sides(table)
-        label = np.arange(len(x))
-        near = _linked(x[a], x[b], least)
-        while True:
-            old = label.copy()
-            low = np.where(near, label[b][None, :], len(x)).min(axis=1, initial=len(x))
-            label[a] = np.minimum(label[a], low)
-            low = np.where(near, label[a][:, None], len(x)).min(axis=0, initial=len(x))
-            label[b] = np.minimum(label[b], low)
-            label = label[label]
-            if (label == old).all():
-                break
+        label = spanning(_linked(x[a], x[b], least), a, b, len(x))
         node = table.column("node").to_numpy()
         own = np.flatnonzero(label != np.arange(len(x)))
         return pa.table({"a": node[own], "b": node[label[own]]})

@@ -17,11 +17,11 @@ classes are the nodes of the join.
    must share enough tokens as well: the filters are intersected before
    anything is verified.
 4. Survivors are verified by exact set intersection; links give components.
-5. Tokens shared by many nodes: nodes that are still in different components
-   meet under the second order, and the pairs across components are verified
-   likewise.  Pairs inside a component need no check, so a group of thousands
-   of near copies costs a star, not a square, and no link between components
-   is lost.
+5. Tokens shared by many nodes: a star may miss links between members that are
+   too far from its hub.  Nodes that share such a token but no component form
+   crowds.  A crowd is ordered by size and compared block against block, only
+   where sizes allow a link; a block pair gives spanning links, never its
+   pairs.  Groups whose star links hold need no second look.
 """
 
 from __future__ import annotations
@@ -36,10 +36,12 @@ from pyspark.sql import functions as F
 from driftline.llm import buckets as B
 from driftline.llm import kernels as K
 from driftline.llm.common import cut
-from driftline.llm.components import components
+from driftline.llm.components import components, spanning
 
 #: Nodes of a token up to which all pairs are formed.
 SMALL = 16
+#: Nodes of a crowd that are compared at a time.
+BLOCK = 256
 #: Seeds of the second and third order.
 ORDER_SEEDS = (0x51ED270B7F4A7C15, 0xA24BAED4963EE407)
 #: Bits of a token that buckets exchange.  Tokens that agree on them count as one in frequencies,
@@ -216,23 +218,44 @@ def _links(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
     return both.withColumn("common", common).filter(F.col("common") * rule.of >= (F.size("tokens_a") + F.size("tokens_b") - F.col("common")) * rule.least).select("a", "b")
 
 
-def _across(open_nodes: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b) of different components that share enough prefix tokens of the second order.
-
-    Sizes fall into geometric bands, four to the widest ratio allowed.  A node looks only into the
-    bands where its number of tokens that occur elsewhere can reach the overlap, so a copy with too
-    many words of its own meets nobody of its size."""
-    step = float(-np.log(rule.least / rule.of)) / 4
-    band = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    second = open_nodes.join(held.select("node", "n", "s", "second"), "node").withColumn("band", band)
-    reach = F.filter(F.sequence(F.col("band") - 5, F.col("band") + 5), lambda b: F.col("s") * (rule.of + rule.least) >= (F.col("n") + F.exp(b * step) * 0.999999) * rule.least)
-    y = second.select("node", "n", "s", "root", "band", F.explode("second").alias("token"))
-    x = second.select("node", "n", "s", "root", "second", F.explode(reach).alias("band")).select("node", "n", "s", "root", "band", F.explode("second").alias("token"))
-    x = x.select(*(F.col(c).alias(f"{c}_x") for c in x.columns))
-    same = (F.col("token_x") == F.col("token")) & (F.col("band_x") == F.col("band"))
-    met = x.join(y, same & (F.col("node_x") < F.col("node")) & (F.col("root_x") != F.col("root")) & _can_link(F.col("n_x"), F.col("s_x"), F.col("n"), F.col("s"), rule))
-    counted = met.groupBy(F.col("node_x").alias("a"), F.col("node").alias("b")).agg(F.first("n_x").alias("na"), F.first("n").alias("nb"), F.count("*").alias("c"))
-    return counted.filter(_overlap_fits(F.col("na"), F.col("nb"), F.col("c"), rule)).select("a", "b")
+def _crowds(placed: DataFrame, mixed: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
+    """Verified links (a, b) between nodes that share a token of many nodes but no component.
+
+    ``placed``: (token, node, root) of tokens of many nodes; ``mixed``: (token, lo) of those with
+    several roots and the smallest.  Components that share a token are a crowd.  Links of a block
+    pair are reduced to spanning ones."""
+    meeting = cut(placed.join(mixed, "token").select("node", "root", "lo").distinct())
+    crowd = components(meeting.select(F.col("lo").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("crowd"))
+    sizes = held.select("node", "n")
+    order = Window.partitionBy("crowd").orderBy("n", "node")
+    members = cut(meeting.select("node", "root").distinct().join(crowd, "root").join(sizes, "node").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")))
+    span = members.groupBy("crowd", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count_distinct("root").alias("roots"), F.min("root").alias("some"))
+    lo = span.select("crowd", F.col("block").alias("lo"), F.col("most").alias("most_lo"), F.col("roots").alias("roots_lo"), F.col("some").alias("some_lo"))
+    hi = span.select("crowd", F.col("block").alias("hi"), "least", "roots", "some")
+    several = (F.col("roots") > 1) | (F.col("roots_lo") > 1) | (F.col("some") != F.col("some_lo"))
+    tasks = lo.join(hi, "crowd").filter((F.col("lo") <= F.col("hi")) & (F.col("most_lo") * rule.of >= F.col("least") * rule.least) & several)
+    tasks = tasks.select("crowd", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    sides = members.select("crowd", "block", "node", "root").join(tasks, ["crowd", "block"])
+
+    def verify(table: pa.Table) -> pa.Table:
+        node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
+        lists = table.column("tokens").combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        token, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)[1:]
+        common = count > 1
+        column = (np.cumsum(common) - 1)[token]
+        keep = common[token]
+        has = np.zeros((len(node), max(1, int(common.sum()))), np.float32)
+        has[np.repeat(np.arange(len(node)), n)[keep], column[keep]] = 1
+        a, b = np.flatnonzero(block == table.column("lo")[0].as_py()), np.flatnonzero(block == table.column("hi")[0].as_py())
+        both = np.rint(has[a] @ has[b].T).astype(np.int64)
+        near = (both * rule.of >= (n[a][:, None] + n[b][None, :] - both) * rule.least) & (root[a][:, None] != root[b][None, :])
+        label = spanning(near, a, b, len(node))
+        own = np.flatnonzero(label != np.arange(len(node)))
+        return pa.table({"a": node[own], "b": node[label[own]]})
+
+    found = sides.join(held.select("node", "tokens"), "node").groupBy("crowd", "lo", "hi").applyInArrow(verify, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 @dataclass
@@ -261,25 +284,21 @@ def similarity_join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
         held = held.join(several.select("node", "keep"), "node", "left").filter("keep is null or (bucket <=> keep.bucket and id <=> keep.id)").dropDuplicates(["node"])
     held = held.select("node", "n", "s", "first", "second", "third", "tokens")
 
-    by_token = Window.partitionBy("token")
     posted = held.select("node", "n", "s", F.explode("first").alias("token"))
-    shared = cut(
-        posted.withColumns({"shared_by": F.count("*").over(by_token), "hub": F.min(F.struct("node", "n", "s")).over(by_token)})
-        .filter("shared_by > 1")
-        .select("token", "node", "n", "s", "shared_by", "hub")
-    )
+    # counts combine before the shuffle; in the join back a crowded token's rows can be split
+    met = posted.groupBy("token").agg(F.count("*").alias("shared_by"), F.min(F.struct("node", "n", "s")).alias("hub")).filter("shared_by > 1")
+    shared = cut(posted.join(met, "token"))
     large = shared.filter(F.col("shared_by") > SMALL)
     candidates = cut(_pairs(shared, rule))
     links = cut(_links(candidates, held, rule).distinct())
     roots = components(links)
 
     placed = large.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    open_nodes = cut(placed.join(mixed, "token", "left_semi").select("node", "root").distinct())
-    if open_nodes.limit(1).count():
-        more = cut(_across(open_nodes, held, rule))
+    mixed = cut(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token", "lo"))
+    if mixed.limit(1).count():
+        more = cut(_crowds(placed, mixed, held, rule).distinct())
         if more.limit(1).count():
-            links = cut(links.union(_links(more, held, rule)).distinct())
+            links = links.union(more)
             roots = components(links)
     return Joined(known.select("id", "n", "node"), links, roots)
 
