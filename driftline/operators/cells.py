@@ -40,6 +40,20 @@ def coverage(points: DataFrame, resolution: int, cell: CellFunction = grid_cell,
     return summed.select(*by, "h3_cell", F.lit(resolution).alias("h3_res"), "unique_segments", "unique_aircraft", "total_points")
 
 
+def coverage_levels(points: DataFrame, resolutions: Sequence[int] = RESOLUTIONS, cell: CellFunction = grid_cell, by: Sequence[str] = ()) -> DataFrame:
+    """Coverage at several resolutions from one scan of the points; every level is computed from the
+    points, never rolled up from a finer one."""
+    for r in resolutions:
+        check_resolution(r)
+    own = points.filter("point_count >= 2 and lat is not null and lon is not null")
+    levels = F.explode(F.array(*(F.struct(cell(F.col("lat"), F.col("lon"), r).alias("h3_cell"), F.lit(r).alias("h3_res")) for r in resolutions)))
+    placed = own.select(*by, "icao24", "segment_id", levels.alias("c")).select(*by, "icao24", "segment_id", "c.*")
+    keys = [*by, "h3_cell", "h3_res"]
+    by_segment = placed.groupBy(*keys, "icao24", "segment_id").agg(F.count("*").alias("points"))
+    by_aircraft = by_segment.groupBy(*keys, "icao24").agg(F.count("*").alias("segments"), F.sum("points").alias("points"))
+    return by_aircraft.groupBy(*keys).agg(F.sum("segments").alias("unique_segments"), F.count("*").alias("unique_aircraft"), F.sum("points").alias("total_points"))
+
+
 def category(median: Column) -> Column:
     return F.when(median >= 10, "excellent").when(median >= 6, "good").when(median >= 3, "limited").otherwise("poor")
 

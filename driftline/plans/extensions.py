@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,5 +69,60 @@ def d10_stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["d10_stamped"] = f"WITH {domain._incidents()} SELECT incident_id, '2024-01-31' AS processing_date FROM merged"
 
-for _f in (k1_partitioned_roundtrip, k2_lines_roundtrip, k4_empty_result, s10_named_views, d10_stamped):
+def s4_explicit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several files in one scan."""
+    both = tables.parquet(spark, f"{sf_dir}/nation.parquet", f"{sf_dir}/nation.parquet")
+    return both.groupBy("n_regionkey").agg(F.count("*").alias("n"))
+
+
+SQL["s4_explicit_list"] = "SELECT n_regionkey, 2 * COUNT(*) AS n FROM nation GROUP BY n_regionkey"
+
+
+def s7_hour_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hour of reports, pushed to the scan as a time range, with positions only."""
+    states = domain.states(spark, sf_dir).filter((F.col("time") >= 1704157200) & (F.col("time") < 1704160800))
+    return states.filter("lat is not null and lon is not null").select("time", "icao24", "lat", "lon", "squawk", "onground").sortWithinPartitions("time")
+
+
+SQL["s7_hour_extraction"] = f"WITH {domain._SV} SELECT time, icao24, lat, lon, squawk, onground FROM sv WHERE time >= 1704157200 AND time < 1704160800"
+
+
+def s8_arrow_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An in-memory Arrow table joined with a stored one."""
+    wanted = tables.from_arrow(spark, pa.table({"key": pa.array([0, 2, 4], pa.int32()), "tag": ["a", "b", None]}))
+    regions = tables.parquet(spark, f"{sf_dir}/region.parquet")
+    return regions.join(wanted, regions["r_regionkey"] == wanted["key"]).select("r_name", "tag")
+
+
+SQL["s8_arrow_scan"] = "SELECT r_name, tag FROM region JOIN (VALUES (0, 'a'), (2, 'b'), (4, NULL)) AS w(key, tag) ON r_regionkey = key"
+
+
+def s9_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inline relation."""
+    return spark.sql("SELECT code, COUNT(*) AS n FROM VALUES ('7500', 1), ('7600', 2), ('7500', 3) AS v(code, x) GROUP BY code")
+
+
+SQL["s9_values"] = "SELECT code, COUNT(*) AS n FROM (VALUES ('7500', 1), ('7600', 2), ('7500', 3)) AS v(code, x) GROUP BY code"
+
+
+def d11_coverage_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All resolutions from one scan."""
+    return cells.coverage_levels(domain.kept(spark, sf_dir))
+
+
+_LEVEL = "SELECT CAST({r}000000000000 + floor((lat + 90.0) / {d}) * 1000000 + floor((lon + 180.0) / {d}) AS BIGINT) AS h3_cell, {r} AS h3_res, COUNT(DISTINCT segment_id) AS unique_segments, COUNT(DISTINCT icao24) AS unique_aircraft, COUNT(*) AS total_points FROM kp WHERE point_count >= 2 GROUP BY 1"
+SQL["d11_coverage_levels"] = f"WITH {domain._points()} " + " UNION ALL ".join(_LEVEL.format(r=r, d=d) for r, d in ((3, "8.0"), (4, "4.0"), (5, "2.0"), (6, "1.0")))
+
+
+def d25_hours_to_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day put together from its hours, as the extraction does."""
+    start = 1704153600
+    states = domain.states(spark, sf_dir)
+    hours = [states.filter((F.col("time") >= start + 3600 * h) & (F.col("time") < start + 3600 * (h + 1))) for h in range(24)]
+    return tables.union_by_name(hours).groupBy("icao24").agg(F.count("*").alias("reports"))
+
+
+SQL["d25_hours_to_day"] = f"WITH {domain._SV} SELECT icao24, COUNT(*) AS reports FROM sv WHERE time >= 1704153600 AND time < 1704240000 GROUP BY icao24"
+
+for _f in (s4_explicit_list, s7_hour_extraction, s8_arrow_scan, s9_values, d11_coverage_levels, d25_hours_to_day, k1_partitioned_roundtrip, k2_lines_roundtrip, k4_empty_result, s10_named_views, d10_stamped):
     QUERIES[_f.__name__] = _f
