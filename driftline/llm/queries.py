@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import bpe, decontam, embed_dedup, html_extract, ngram_join, quality, sharding, suffix_dedup, toxicity, warc
 from driftline.llm.common import shared_dir, table
+from driftline.llm.oracles import ORACLES
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins where SQL can express a query; tests hold the others against brute force."""
+    return dict(ORACLES)
