@@ -22,6 +22,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from driftline.llm import kernels as K
+from driftline.llm.common import small_batches
+
 #: Longer texts are pre-split; the limit is in characters.
 SEGMENT_CHARS = 1 << 16
 #: Text bytes of one output batch.
@@ -97,7 +100,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
                 flat = np.fromiter((i for x in ids for i in x), np.int32, count=int(off[-1]))
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], [*kept, ids_col])
 
-    return df.mapInArrow(run, T.StructType([*_passed(df, text_col), T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)]))
+    return small_batches(df).mapInArrow(K.released_after(run), T.StructType([*_passed(df, text_col), T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)]))
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded", keep_ids: bool = True) -> DataFrame:
@@ -116,7 +119,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", ou
                 out = [enc.decode_bytes(x) if x else b"" for x in part[ids_col].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(out, pa.binary())], [*kept, out_col])
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(out_col, T.BinaryType(), False)]))
+    return small_batches(df).mapInArrow(K.released_after(run), T.StructType([*fields, T.StructField(out_col, T.BinaryType(), False)]))
 
 
 def encode_decode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -138,4 +141,4 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(out, pa.binary())], [*kept, "ids", "decoded"])
 
     schema = [*_passed(df, text_col), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False)]
-    return df.mapInArrow(run, T.StructType(schema))
+    return small_batches(df).mapInArrow(K.released_after(run), T.StructType(schema))

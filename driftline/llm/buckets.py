@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm import kernels as K
+from driftline.llm.common import small_batches
 
 #: Text bytes of a bucket; bounds what a Python worker holds.
 BUCKET_BYTES = 4 << 20
@@ -41,7 +42,7 @@ def runs(key: np.ndarray) -> np.ndarray:
 def deal(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES, passed: bool = False) -> tuple[DataFrame, int]:
     """(id, text, bucket) of every row and the number of buckets.  With ``passed`` the other columns
     follow as passed_0, passed_1, ...  Ids become longs; one narrow pass weighs the texts first."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_BYTES
     copies = docs.groupBy(F.xxhash64(text_col).alias("key")).agg(F.sum(size).alias("held"))
     total = copies.agg(F.sum("held")).first()[0] or 0

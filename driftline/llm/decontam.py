@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.llm import kernels as K
+from driftline.llm.common import small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -196,7 +197,7 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                         r, item, s, at, n = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + x for x in r])), pa.array(item), pa.array(s), pa.array(at, pa.int32()), pa.array(n, pa.int32())], schema.fieldNames())
 
-        out = out.union(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema))
+        out = out.union(small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(K.released_after(run), schema))
     return out
 
 
@@ -224,5 +225,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
                     clean[[r for r, *_ in sent.value.matches(data, off)]] = False
                     yield batch.slice(lo, hi - lo).filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(K.released_after(run), docs.schema)
     return docs

@@ -154,7 +154,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
                     node = np.repeat(part.column(0).to_numpy(), key[0].size)
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node)], ["bucket", "node"])
 
-    posted = classes.select("node", "embedding", F.xxhash64("label")).mapInArrow(hashed, "bucket long, node long")
+    posted = classes.select("node", "embedding", F.xxhash64("label")).mapInArrow(K.released_after(hashed), "bucket long, node long")
     met = posted.withColumn("held", F.count("*").over(Window.partitionBy("bucket"))).filter("held > 1").select("bucket", "node").distinct()
     members = _in_blocks(met, "bucket", "node").join(classes.select("node", "embedding", "label"), "node")
 
@@ -166,7 +166,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         own = np.flatnonzero(label != np.arange(len(x)))
         return pa.table({"a": node[own], "b": node[label[own]]})
 
-    links = cut(members.groupBy("bucket", "lo", "hi").applyInArrow(span, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = cut(members.groupBy("bucket", "lo", "hi").applyInArrow(K.released(span), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = cut(components(links))
 
     def count(table: pa.Table) -> pa.Table:
@@ -179,7 +179,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         return pa.table({"node": np.concatenate([node[a], node[b]]), "found": np.concatenate([near @ copies[b], near.T @ copies[a]])})
 
     grouped = roots.join(classes.select("node", "embedding", "copies", "first_id"), "node")
-    counted = _in_blocks(grouped.select("node", "root", "embedding", "copies"), "root", "node").groupBy("root", "lo", "hi").applyInArrow(count, "node long, found long").groupBy("node").agg(F.sum("found").alias("found"))
+    counted = _in_blocks(grouped.select("node", "root", "embedding", "copies"), "root", "node").groupBy("root", "lo", "hi").applyInArrow(K.released(count), "node long, found long").groupBy("node").agg(F.sum("found").alias("found"))
     least_id = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     result = (
         classes.select("node", "copies", "first_id")

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.llm.common import small_batches
+
 #: Lines per window.
 WINDOW = 3
 #: Characters in a window that mark a surge on an ordinary page.
@@ -189,4 +191,4 @@ def extract_pages(pages: DataFrame, html_col: str = "html", text_col: str = "tex
                 out = pa.array([extract(x.as_py()) for x in part[html_col]], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), out], [*kept, text_col])
 
-    return pages.select(*(F.col(c) for c in kept), F.col(html_col)).mapInArrow(run, T.StructType([*fields, T.StructField(text_col, T.StringType(), False)]))
+    return small_batches(pages).select(*(F.col(c) for c in kept), F.col(html_col)).mapInArrow(run, T.StructType([*fields, T.StructField(text_col, T.StringType(), False)]))

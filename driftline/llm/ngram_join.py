@@ -115,8 +115,8 @@ def _exchange(source: DataFrame, rule: Rule, parts: int) -> DataFrame:
             kept.append(int(several.sum()))
         return pa.table([table.column("part").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(kept, pa.int32()), pa.array(out, pa.binary())], schema=B.SENT)
 
-    sent = source.groupBy("bucket").applyInArrow(send, B.SENT_DDL)
-    return sent.groupBy("part").applyInArrow(meet, B.SENT_DDL).filter("n > 0")
+    sent = source.groupBy("bucket").applyInArrow(K.released(send), B.SENT_DDL)
+    return sent.groupBy("part").applyInArrow(K.released(meet), B.SENT_DDL).filter("n > 0")
 
 
 _NODE_DDL = "id long, bucket int, n long, node long, check long, several int, first array<long>, second array<long>, third array<long>, tokens array<long>"
@@ -170,7 +170,7 @@ def nodes(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
         columns += [pa.array([None if x is None else x[j].view(np.int64) for x in bearer], pa.list_(pa.int64())) for j in range(1, 5)]
         return pa.table([bucket.id_column, texts.column("bucket"), pa.array(sizes_of[at]), pa.array(node_of[at]), pa.array(check_of[at]), *columns], names=["id", "bucket", "n", "node", "check", "several", "first", "second", "third", "tokens"])
 
-    return source.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(build, _NODE_DDL)
+    return source.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(K.released(build), _NODE_DDL)
 
 
 def _can_link(na: Column, sa: Column, nb: Column, sb: Column, rule: Rule) -> Column:
@@ -254,7 +254,7 @@ def _crowds(placed: DataFrame, mixed: DataFrame, held: DataFrame, rule: Rule) ->
         own = np.flatnonzero(label != np.arange(len(node)))
         return pa.table({"a": node[own], "b": node[label[own]]})
 
-    found = sides.join(held.select("node", "tokens"), "node").groupBy("crowd", "lo", "hi").applyInArrow(verify, "a long, b long")
+    found = sides.join(held.select("node", "tokens"), "node").groupBy("crowd", "lo", "hi").applyInArrow(K.released(verify), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.llm import kernels as K
-from driftline.llm.common import cut, fold
+from driftline.llm.common import cut, fold, small_batches
 
 STATISTICS = ("symbols", "upper", "digits", "punctuated", "repeat_1", "repeat_2", "symbol_words", "word_length", "blank", "long_words")
 DIM = len(STATISTICS)
@@ -89,7 +89,7 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 x = statistics(data, off)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, DIM, dtype=np.int32)), pa.array(x.ravel()))], ["id", "stats"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, T.StructType([T.StructField("id", id_type), T.StructField("stats", T.ArrayType(T.DoubleType()))]))
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(K.released_after(run), T.StructType([T.StructField("id", id_type), T.StructField("stats", T.ArrayType(T.DoubleType()))]))
 
 
 @dataclass
@@ -196,4 +196,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_
             for lo, hi, data, off in K.slices(batch.column(at)):
                 yield batch.slice(lo, hi - lo).filter(pa.array(model.score(statistics(data, off)) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(K.released_after(run), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.llm import kernels as K
-from driftline.llm.common import fold
+from driftline.llm.common import fold, small_batches
 
 #: Hashed term space (a power of two).
 BITS = 20
@@ -61,7 +61,7 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array((key & ((1 << BITS) - 1)).astype(np.int32)))], ["id", "terms"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, T.StructType([T.StructField("id", id_type), T.StructField("terms", T.ArrayType(T.IntegerType()))]))
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(K.released_after(run), T.StructType([T.StructField("id", id_type), T.StructField("terms", T.ArrayType(T.IntegerType()))]))
 
 
 @dataclass
@@ -176,5 +176,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
                 key = np.unique(row[hit].astype(np.int64) << 32 | place[hit])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fm.score(key & 0xFFFFFFFF, key >> 32, hi - lo))], ["id", "score"])
 
-    scored = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, T.StructType([T.StructField("id", id_type), T.StructField("score", T.DoubleType())]))
+    scored = small_batches(docs).select(F.col("doc_id").alias("id"), "text").mapInArrow(K.released_after(run), T.StructType([T.StructField("id", id_type), T.StructField("score", T.DoubleType())]))
     return scored.select("id", F.coalesce(fold(F.col("id"), modulus) == held_out, F.lit(True)).alias("held_out"), "score")
