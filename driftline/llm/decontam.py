@@ -6,9 +6,9 @@ finds all items whose fingerprint lies within the radius: with radius r and
 r + 1 blocks, one block must agree.  Candidates are verified by exact weighted
 Jaccard similarity of the shingles (weights: their counts).
 
-A window of similarity s shares at least 2s/(1+s) of its shingles with its
-item, so windows with fewer benchmark shingles are not fingerprinted; that
-loses nothing.  The index of the items is broadcast in parts of bounded bytes;
+A window of similarity s shares at least s/(1+s) of all shingles of the two
+with its item, so windows with fewer benchmark shingles are not fingerprinted;
+that loses nothing.  A document shorter than an item is a window as a whole.  The index of the items is broadcast in parts of bounded bytes;
 a larger benchmark takes several passes.  Documents are never shuffled.
 """
 
@@ -121,14 +121,13 @@ class Index:
             place = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
             hit = known[place] == shingle
             lengths = [n for n in self.blocks if min(n, SHINGLE) == k]
-            shared = 2 * self.similarity / (1 + self.similarity)
-            least = min(max(1, math.ceil((n - k + 1) * shared - 1e-9)) for n in lengths)
+            least = min(max(1, math.ceil((n - k + 1) * self.similarity - 1e-9)) for n in lengths)
             hits = np.bincount(shingle_row[hit], minlength=rows)
             bounds = np.searchsorted(shingle_row, np.arange(rows + 1))
             for r in np.flatnonzero(hits >= least).tolist():
                 a, b = int(bounds[r]), int(bounds[r + 1])
                 first_word = int(word_ends[r - 1]) if r else 0
-                self._row(r, shingle[a:b], hit[a:b], k, lengths, shared, best, int(word_ends[r]) - first_word)
+                self._row(r, shingle[a:b], hit[a:b], k, lengths, best, int(word_ends[r]) - first_word)
         return [(r, self.ids[i], s, at, n) for (r, i), (s, at, n) in sorted(best.items())]
 
     @staticmethod
@@ -138,14 +137,13 @@ class Index:
         enough = np.bincount(row)[shingle_row] >= k
         return shingle[enough], shingle_row[enough]
 
-    def _row(self, r: int, shingle: np.ndarray, hit: np.ndarray, k: int, lengths: list[int], shared: float, best: dict, n_words: int) -> None:
+    def _row(self, r: int, shingle: np.ndarray, hit: np.ndarray, k: int, lengths: list[int], best: dict, n_words: int) -> None:
         held = np.concatenate([[0], np.cumsum(hit)])
         sums = None
         for n in lengths:
-            size = n - k + 1
-            if n > n_words:
-                continue
-            starts = np.flatnonzero(held[size:] - held[:-size] >= max(1, math.ceil(size * shared - 1e-9)))
+            size = min(n, n_words) - k + 1  # a row shorter than the item is one window
+            need = self.similarity / (1 + self.similarity) * (n - k + 1 + size)
+            starts = np.flatnonzero(held[size:] - held[:-size] >= max(1, math.ceil(need - 1e-9)))
             if not len(starts):
                 continue
             if sums is None:
@@ -158,7 +156,7 @@ class Index:
                     window = window or Counter(shingle[at : at + size].tolist())
                     s = self.verify(i, window)
                     if s >= self.similarity and s > best.get((r, i), (0.0, 0, 0))[0]:
-                        best[r, i] = (s, at, n)
+                        best[r, i] = (s, at, min(n, n_words))
 
     @staticmethod
     def _sums(shingle: np.ndarray, hit: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +178,8 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     best window (the first of equals).
 
     Null or empty texts and items match nothing; items of fewer than five words match as whole
-    sequences; documents shorter than an item have no window of its size; repeated rows of either
-    table give repeated rows; an empty table gives no rows."""
+    sequences; a document shorter than an item is one window; repeated rows of either table give
+    repeated rows; an empty table gives no rows."""
     spark = docs.sparkSession
     id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("item_id", item_type), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())])

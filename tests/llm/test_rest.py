@@ -172,12 +172,12 @@ def windows(docs, items):
         for i, u in items:
             own = Counter(cut(fold(u)))
             n, best = len(fold(u)), None
-            for a in range(len(w) - n + 1) if n else ():
+            for a in range(max(1, len(w) - n + 1)) if n and w else ():
                 x = Counter(cut(w[a : a + n]))
                 both = sum((x & own).values())
                 s = both / (own.total() + x.total() - both)
                 if s >= 0.8 and (best is None or s > best[2]):
-                    best = (d, i, s, a, n)
+                    best = (d, i, s, a, min(n, len(w)))
             out += [best] * bool(best)
     return sorted(out)
 
@@ -194,7 +194,7 @@ def test_decontamination_against_brute_force(spark, prose):
                 w[r.randrange(len(w))] = "changed"
             t += ". " + ", ".join(w).upper() + "! " + prose(30, i)
         docs.append((i, t))
-    docs += [(100, None), (101, ""), (102, "Two, words"), (103, "word " * 30_000 + items[0][1])]
+    docs += [(100, None), (101, ""), (102, "Two, words"), (104, items[3][1].rsplit(" ", 2)[0]), (105, "two"), (106, items[4][1][:40]), (103, "word " * 30_000 + items[0][1])]
     got, exp = find(spark, docs, items), windows(docs, items)
     assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in exp]
     assert [x[2] for x in got] == pytest.approx([x[2] for x in exp])
