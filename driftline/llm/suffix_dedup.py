@@ -18,8 +18,12 @@ document with a smaller id.  Only suffixes that can matter are sorted:
    Neighbours of equal suffixes share the smallest document id among them.
 5. Each bucket gets its verdicts back and cuts its texts.
 
-A passage that a third of all documents hold costs one context per bucket and
-distinct surroundings, never pairs.  Texts are shuffled once, by bucket (the
+Around a passage that a third of all documents hold, every document's bytes
+differ, so its anchors would gather a context of each document.  The strings
+of an anchor that many buckets hold therefore meet, four offsets at a time,
+under a hash of the 47 bytes these strings share: strings with bytes of their
+own scatter, and those inside the passage cost a few contexts per bucket.
+Nothing forms pairs.  Texts are shuffled once, by bucket (the
 exchange is reused); all else are blocks of bounded size.
 """
 
@@ -39,6 +43,11 @@ LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM  # bytes of a string beside its anchor
 CONTEXT = LENGTH + SPAN
+#: Buckets that hold an anchor hash, from which on its strings meet in smaller groups.  It bounds an
+#: anchor's contexts to those of so many buckets.
+MANY_BUCKETS = 256
+#: Strings of neighbouring offsets that then stay together; they share all but so many bytes.
+TOGETHER = 4
 #: Bytes to which multikey quicksort goes before blind tries take over.
 SHALLOW = 24
 #: Suffixes sorted at a time (a larger group of one anchor stays whole).
@@ -195,7 +204,8 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = B.runs(at)
     last = np.append(first[1:], len(at)) - 1
     position = at[first] if len(at) else z
-    return h[position], position, np.searchsorted(off, position, "right") - 1, string[first], string[last]
+    # anchors are least hashes, so they crowd near zero: mix once more, that hash ranges get equal shares
+    return K.mix(h[position] ^ U64(0xD1B54A32D192ED03)), position, np.searchsorted(off, position, "right") - 1, string[first], string[last]
 
 
 def contexts(data: np.ndarray, position: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -212,6 +222,22 @@ def contexts(data: np.ndarray, position: np.ndarray, first: np.ndarray, last: np
     return out
 
 
+def _scatter(data: np.ndarray, h: np.ndarray, position: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors of many buckets, split into runs of TOGETHER offsets that meet under a hash of the
+    bytes which all strings of the run share; the other anchors as they are."""
+    at = np.flatnonzero(often)
+    low, high = (position - last)[at] // TOGETHER, (position - first)[at] // TOGETHER
+    n = high - low + 1
+    of = np.repeat(at, n)
+    run = np.repeat(low, n) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    begin = position[of] - TOGETHER * run
+    core = K.span_hashes(K.prefix_sums(data, K.BYTES), begin, begin + LENGTH - TOGETHER + 1)
+    own = K.mix(core ^ h[of] ^ run.astype(U64)) & _HASH
+    rest = np.flatnonzero(~often)
+    join = lambda a, b: np.concatenate([a[rest], b])
+    return join(h, own), join(position, position[of]), join(row, row[of]), join(first, np.maximum(first[of], begin - TOGETHER + 1)), join(last, np.minimum(last[of], begin))
+
+
 def _context_key(ctx: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     h = low.astype(U64) << U64(8) | high
     words = np.ascontiguousarray(np.pad(ctx, ((0, 0), (0, -CONTEXT % 8)))).view("<u8")
@@ -237,20 +263,25 @@ class _Bucket(B.Bucket):
 
     def shared(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(entries, entry of each occurrence, occurrences): distinct contexts whose anchor hash is
-        among ``known`` (sorted), ascending by key; occurrences are (text, first, last, position)."""
+        among ``known`` (sorted; a low bit marks hashes of many buckets), ascending by key;
+        occurrences are (text, position, first, last)."""
         entries, where = [], []
         for lo, _, data, off in self.slices():
             h, position, row, first, last = anchors(data, off)
+            hashes = known & _HASH
             if len(known):
-                place = np.minimum(np.searchsorted(known, h & _HASH), len(known) - 1)
-                hit = np.flatnonzero(known[place] == h & _HASH)
+                place = np.minimum(np.searchsorted(hashes, h & _HASH), len(known) - 1)
+                hit = np.flatnonzero(hashes[place] == h & _HASH)
+                often = known[place[hit]] & ~_HASH != 0
             else:
-                hit = np.zeros(0, np.int64)
-            h, position, row, first, last = h[hit], position[hit], row[hit], first[hit], last[hit]
-            e = np.zeros(len(hit), _ENTRY)
+                hit, often = np.zeros(0, np.int64), np.zeros(0, bool)
+            h, position, row, first, last = h[hit] & _HASH, position[hit], row[hit], first[hit], last[hit]
+            if often.any():
+                h, position, row, first, last = _scatter(data, h, position, row, first, last, often)
+            e = np.zeros(len(h), _ENTRY)
             e["ctx"] = contexts(data, position, first, last)
             e["low"], e["high"] = position - last, position - first
-            e["h"], e["c"] = h & _HASH, _context_key(e["ctx"], e["low"], e["high"])
+            e["h"], e["c"] = h, _context_key(e["ctx"], e["low"], e["high"])
             e["id"] = self.text_id[lo + row]
             entries.append(e)
             where.append(np.column_stack([lo + row, position - off[row], first - off[row], last - off[row]]))
@@ -340,18 +371,18 @@ def whole_characters(text: np.ndarray, covered: np.ndarray) -> np.ndarray:
 def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES) -> DataFrame:
     """``docs`` with the text cut to its kept characters; other columns as they are.  A null text
     becomes empty."""
-    return _plan(docs, id_col, text_col, bucket_bytes, False)
+    return _plan(docs, id_col, text_col, bucket_bytes, MANY_BUCKETS, False)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES, many_buckets: int = MANY_BUCKETS) -> DataFrame:
     """(id, n_bytes, spans, kept): the removed byte spans, maximal and ascending, and the kept bytes.
 
     A null text is empty.  A null id counts as larger than every id and as equal to other nulls;
     rows with one id never cut each other.  An empty table gives no rows."""
-    return _plan(docs, id_col, text_col, bucket_bytes, True)
+    return _plan(docs, id_col, text_col, bucket_bytes, many_buckets, True)
 
 
-def _plan(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, spans_wanted: bool) -> DataFrame:
+def _plan(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, many_buckets: int, spans_wanted: bool) -> DataFrame:
     source, parts = B.deal(docs, id_col, text_col, bucket_bytes, passed=not spans_wanted)
     passed = [f for f in docs.schema.fields if not spans_wanted and f.name not in (id_col, text_col)]
 
@@ -378,6 +409,9 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, spans_
         wanted = np.repeat((size > 1) | (np.bitwise_or.reduceat(h[by], start) & ~_HASH != 0), size)
         take = np.zeros(len(h), bool)
         take[by[wanted]] = True
+        often = np.zeros(len(h), U64)
+        often[by] = np.repeat((size >= many_buckets).astype(U64) << U64(15), size)
+        plain = plain | often
         rows = [plain[a:b][take[a:b]] for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)]
         return pa.table([table.column("part").combine_chunks(), table.column("bucket").combine_chunks(), pa.array([len(r) for r in rows], pa.int32()), pa.array([B.pack_sorted(r) for r in rows], pa.binary())], schema=B.SENT)
 
@@ -440,11 +474,11 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, spans_
         return pa.table([bucket.id_column, pa.array(n), pa.array(out_spans, span_type), pa.array(out_kept, pa.binary())], names=result.names)
 
     by_bucket = source.groupBy("bucket")
-    met = by_bucket.applyInArrow(send_hashes, B.SENT_DDL).groupBy("part").applyInArrow(meet, B.SENT_DDL)
+    met = by_bucket.applyInArrow(K.released(send_hashes), B.SENT_DDL).groupBy("part").applyInArrow(K.released(meet), B.SENT_DDL)
     known = met.filter("n > 0")
-    judged = by_bucket.cogroup(known.groupBy("bucket")).applyInArrow(send_contexts, B.SENT_DDL).groupBy("part").applyInArrow(judge, B.SENT_DDL)
+    judged = by_bucket.cogroup(known.groupBy("bucket")).applyInArrow(K.released(send_contexts), B.SENT_DDL).groupBy("part").applyInArrow(K.released(judge), B.SENT_DDL)
     replies = known.withColumn("answered", F.lit(False)).unionByName(judged.withColumn("answered", F.lit(True)))
-    out = by_bucket.cogroup(replies.groupBy("bucket")).applyInArrow(cut_texts, result)
+    out = by_bucket.cogroup(replies.groupBy("bucket")).applyInArrow(K.released(cut_texts), result)
     if spans_wanted:
         return out
     back = {id_col: F.col("id").cast(docs.schema[id_col].dataType), text_col: F.col("text")} | {f.name: F.col(f"passed_{i}") for i, f in enumerate(passed)}

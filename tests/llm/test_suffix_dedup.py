@@ -66,6 +66,16 @@ def test_corner_cases(spark, rows):
     assert run(spark, rows) == brute(rows)
 
 
+def test_anchors_of_many_buckets(spark, prose):
+    line = prose(14, 77)
+    rows = []
+    for i in range(120):
+        own = prose(25, i)
+        rows.append((i, own[: i % 90] + line + own[i % 90 :] + (line[5:70] if i % 3 == 0 else "")))
+    for many in (1, 2, 5):
+        assert run(spark, rows, bucket_bytes=2000, many_buckets=many) == brute(rows)
+
+
 def test_hot_text_is_salted(spark, prose):
     text = prose(40, 1)
     rows = [(i, text) for i in range(300)] + [(1000, "begin " + text + " end"), (-5, "other " + text[20:])]
