@@ -74,16 +74,18 @@ def release() -> None:
 
 
 def released(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
-    """``f`` over whole groups, with memory given back after each."""
+    """``f`` over whole groups, with memory given back after each that is not small."""
 
     def one(table: pa.Table) -> pa.Table:
         out = f(table)
-        release()
+        if table.nbytes > SLICE_BYTES:
+            release()
         return out
 
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
         out = f(left, right)
-        release()
+        if left.nbytes + right.nbytes > SLICE_BYTES:
+            release()
         return out
 
     return one if f.__code__.co_argcount == 1 else two  # Spark tells the kinds apart by their arguments
