@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas".split())
 DROPPED = frozenset("head nav footer aside form button select dialog menu search fieldset label datalist output progress meter".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements whose end tag may be left out, with the start tags that end them.
+IMPLIED = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "head": {"body"}} | dict.fromkeys(("td", "th"), frozenset("td th tr tbody tfoot thead".split()))
 
 #: Groups: a tag (1 to 3), a tag with unpaired quotes (4 to 6), text (7).  No branch looks past the
 #: next "<" outside quotes, so the scan is linear on broken markup too.
@@ -43,6 +46,7 @@ _UNWANTED = re.compile(
     re.IGNORECASE,
 )
 _ATTR = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.IGNORECASE)
+_COMMENTS = re.compile(r"(?:^|[\s_\"'=-])(?:comments?|respond|disqus\w*)(?:$|[\s_\"'-])", re.IGNORECASE)
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -58,13 +62,77 @@ def _unwanted(attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
+def _tokens(page: str) -> list[tuple[str, bool, str]]:
+    """(name, is an end tag, attributes) of each tag and ("", False, text) of each text.  Raw elements
+    leave a start tag alone; comments and declarations leave nothing."""
+    out: list[tuple[str, bool, str]] = []
+    at, n = 0, len(page)
+    while at < n:
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        if m[7] is not None:
+            out.append(("", False, m[7]))
+            continue
+        name = m[2] or m[5]
+        if name is None:
+            continue
+        closing, name, attributes = bool(m[1] or m[4]), name.lower(), m[3] if m[2] else m[6]
+        if name in RAW and not closing and not attributes.rstrip().endswith("/"):
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
+            at = end.end() if end else n
+        out.append((name, closing, attributes))
+    return out
+
+
+def _ends(tokens: list[tuple[str, bool, str]]) -> tuple[list[int], bytearray]:
+    """For each start tag the token that ends its element, and whether that is its own end tag;
+    otherwise it is the tag that ends an outer element or implies the end, or the page's end."""
+    end, own = [len(tokens)] * len(tokens), bytearray(len(tokens))
+    stack: list[int] = []
+    opened: dict[str, list[int]] = {}  # places in the stack
+    blocks: list[int] = []
+
+    def pop_to(depth: int, at: int) -> None:
+        while len(stack) > depth:
+            name = tokens[k := stack.pop()][0]
+            if opened[name] and opened[name][-1] == len(stack):
+                opened[name].pop()
+                end[k] = at
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+
+    for i, (name, closing, _) in enumerate(tokens):
+        if not name or name in RAW:
+            continue
+        if closing:
+            if not (places := opened.get(name)):
+                continue
+            depth = places[-1]
+            own[stack[depth]] = 1
+            if name in BLOCKS or not blocks or blocks[-1] < depth:
+                pop_to(depth, i)
+            else:  # misnested: the blocks inside stay open
+                end[stack[depth]] = i
+                places.pop()
+            continue
+        if name in BLOCKS:
+            while blocks and name in IMPLIED.get(tokens[stack[blocks[-1]]][0], ()):
+                pop_to(blocks[-1], i)
+        if name not in VOID:
+            opened.setdefault(name, []).append(len(stack))
+            if name in BLOCKS:
+                blocks.append(len(stack))
+            stack.append(i)
+    return end, own
+
+
+def lines(page: str, wrapped: bool = False) -> list[tuple[str, int, int]]:
     """(text, weight, region) of each non-empty line.  ``region`` counts article and main elements
-    as odd numbers and what lies around them as even ones."""
+    as odd numbers and what lies around them as even ones.  ``wrapped``: read articles within
+    elements of unwanted names too, save comments."""
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = in_link = region = inside = 0
-    skip, skip_depth = "", 0
     in_header = 0
 
     def flush() -> None:
@@ -77,41 +145,26 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             parts.clear()
         linked = 0
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        if m[7] is not None:
-            if not skip and not (in_header and in_header != 2):
-                text = html.unescape(m[7])
+    tokens = _tokens(page)
+    end, own = _ends(tokens)
+    starts = [i for i, t in enumerate(tokens) if not t[1] and (t[0] in ARTICLE or t[0] == "body")]
+    mains = [i for i in starts if tokens[i][0] == "main"]
+    i = -1
+    while (i := i + 1) < len(tokens):
+        name, closing, attributes = tokens[i]
+        if not name:
+            if not (in_header and in_header != 2):
+                text = html.unescape(attributes)
                 parts.append(text)
                 if in_link:
                     linked += len("".join(text.split()))
             continue
-        name = m[2] or m[5]
-        if name is None:
-            continue
-        closing, name, attributes = bool(m[1] or m[4]), name.lower(), m[3] if m[2] else m[6]
-        if name in RAW and not closing:
-            if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
-            if name in BLOCKS:
-                flush()
-            continue
-        if skip:
-            if name == skip:
-                skip_depth += -1 if closing else 0 if name in VOID else 1
-                if skip_depth <= 0:
-                    skip = ""
-            elif not closing and (name in ARTICLE or name == "body") or closing and name in ("article", "main", "body", "html"):
-                skip = ""  # the element was never closed
-            if skip or name not in ARTICLE and name not in ("body", "html"):
-                continue
         if name in BLOCKS:
             flush()
         elif name == "br":
             parts.append(" ")
+        if name in RAW and not closing:
+            continue
         if closing:
             if name == "a":
                 in_link = max(0, in_link - 1)
@@ -123,28 +176,38 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             elif in_header == 2 and name in _HEADINGS:
                 in_header = 1
             continue
+        if name not in VOID and name not in ("main", "body", "html") and (name in DROPPED or attributes and _unwanted(attributes)):
+            # an element without an end tag does not reach into an article, nor a wrapper of main into that
+            firm = name in DROPPED or attributes and _COMMENTS.search(attributes)
+            until = [] if own[i] and firm else mains if own[i] and not wrapped else starts
+            k = bisect_right(until, i)
+            if k < len(until) and until[k] < end[i]:
+                i = until[k] - 1
+            else:
+                i = end[i] - (not own[i])
+            continue
         if name == "a":
             in_link = 1
         elif name in ARTICLE:
             region += 1 if not inside else 0
             inside += 1
             in_header = 0
-            continue
         elif name == "header":
             in_header = 1
         elif in_header and name in _HEADINGS and inside:
             in_header = 2
-        if name not in VOID and name not in ("body", "html") and (name in DROPPED or attributes and _unwanted(attributes)):
-            skip, skip_depth = name, 1
     flush()
     return out
 
 
 def extract(page: str | None) -> str:
-    """The kept lines of one page, joined by line feeds; empty for a null or empty page."""
+    """The kept lines of one page, joined by line feeds; empty for a null or empty page.
+
+    Runs of lines from a surge to a dive are kept.  In an article or main element each text is a
+    surge; where such a run holds a surge of the page, the runs outside of articles go."""
     if not page:
         return ""
-    found = lines(page)
+    found = lines(page) or lines(page, wrapped=True)
     weights: list[int] = []
     place: list[int] = []
     region = None
@@ -158,7 +221,8 @@ def extract(page: str | None) -> str:
     if not sums or not (peak := max(sums)):
         return ""
     surge = min(SURGE, peak / 2)
-    runs: list[tuple[int, int, int]] = []  # surge point, dive point, highest window
+    back = {p: k for k, p in enumerate(place)}
+    runs: list[tuple[int, int, bool, int]] = []  # surge point, dive point, in an article, highest window
     i = 0
     while i < len(weights):
         if not weights[i]:
@@ -167,14 +231,10 @@ def extract(page: str | None) -> str:
         j = i
         while j < len(weights) and sums[j]:  # a dive: a whole window without text
             j += 1
-        high = max(sums[i:j])
-        if high >= surge:
-            runs.append((i, j, high))
+        runs.append((i, j, bool(found[back[i]][2] % 2), max(sums[i:j])))
         i = max(j, i + 1)
-    back = {p: k for k, p in enumerate(place)}
-    kept = [k for a, b, _ in runs for p in range(a, b) if (k := back.get(p)) is not None and found[k][1]]
-    if any(found[k][2] % 2 for k in kept):
-        kept = [k for k in range(len(found)) if found[k][2] % 2 and found[k][1]]
+    article = any(inner and high >= surge for _, _, inner, high in runs)
+    kept = [k for a, b, inner, high in runs if (inner if article else high >= surge) for p in range(a, b) if (k := back.get(p)) is not None and found[k][1]]
     return "\n".join(found[k][0] for k in kept)
 
 

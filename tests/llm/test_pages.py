@@ -39,6 +39,34 @@ def test_lines_without_an_article_follow_surge_and_dive():
     assert H.extract(page) == "\n".join(f"{LONG}{i}" for i in range(3))
 
 
+COMMENT = "A reader wrote this remark, long enough to look like text of its own. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><p>{}</p><section class=comments><article class=comment><p>{}</p></article></section></article>",
+        "<article><p>{}</p><aside><article><p>{}</p></article></aside></article>",
+        "<article><p>{}</p></article><div id=comments><article><p>{}</p></article></div>",
+        "<article><p>{}</p></article><article class=comment><p>{}</p></article>",
+    ],
+)
+def test_articles_of_comments_and_asides_are_no_text(page):
+    assert H.extract(page.format(LONG, COMMENT)) == " ".join(LONG.split())
+
+
+def test_articles_bound_the_runs():
+    outer = f"<div><p>{COMMENT}</p></div>"
+    assert H.extract(f"{outer}<article><p>{LONG}</p></article>{outer}<article><p>x</p></article>") == f"{' '.join(LONG.split())}\nx"
+    assert H.extract(f"{outer}<article><p>x</p></article>") == " ".join(COMMENT.split())
+    assert H.extract(f"<div class=widget><article><p>{LONG}</p></article></div>") == " ".join(LONG.split())
+
+
+def test_many_open_elements_are_linear():
+    for junk in ("<b>" * 50_000 + "<div></div>" * 50_000, "<div class=ad>" * 50_000 + "<article>", "<a><p></a>" * 50_000, "<td><p><i>" * 50_000):
+        H.extract(junk)
+
+
 def test_sf_pages(spark, data):
     got = H.extract_pages(spark.read.parquet(f"{data}/pages.parquet")).collect()
     assert len(got) == 50
