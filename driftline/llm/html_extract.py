@@ -104,6 +104,8 @@ def _ends(tokens: list[tuple[str, bool, str]]) -> tuple[list[int], bytearray]:
     for i, (name, closing, _) in enumerate(tokens):
         if not name or name in RAW:
             continue
+        if name == "a" and not closing and (links := opened.get("a")):  # links do not nest
+            end[stack[links.pop()]] = i
         if closing:
             if not (places := opened.get(name)):
                 continue
@@ -127,12 +129,13 @@ def _ends(tokens: list[tuple[str, bool, str]]) -> tuple[list[int], bytearray]:
 
 
 def lines(page: str, wrapped: bool = False) -> list[tuple[str, int, int]]:
-    """(text, weight, region) of each non-empty line.  ``region`` counts article and main elements
+    """(text, weight outside links, region) of each non-empty line.  ``region`` counts article and main elements
     as odd numbers and what lies around them as even ones.  ``wrapped``: read articles within
     elements of unwanted names too, save comments."""
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    linked = in_link = region = inside = 0
+    linked = region = inside = 0
+    link_end, in_open_link = -1, False
     in_header = 0
 
     def flush() -> None:
@@ -156,19 +159,19 @@ def lines(page: str, wrapped: bool = False) -> list[tuple[str, int, int]]:
             if not (in_header and in_header != 2):
                 text = html.unescape(attributes)
                 parts.append(text)
-                if in_link:
+                if i < link_end:
                     linked += len("".join(text.split()))
             continue
         if name in BLOCKS:
             flush()
+            if in_open_link:
+                link_end, in_open_link = i, False
         elif name == "br":
             parts.append(" ")
         if name in RAW and not closing:
             continue
         if closing:
-            if name == "a":
-                in_link = max(0, in_link - 1)
-            elif name in ARTICLE and inside:
+            if name in ARTICLE and inside:
                 inside -= 1
                 region += 1 if not inside else 0
             elif name == "header":
@@ -186,8 +189,8 @@ def lines(page: str, wrapped: bool = False) -> list[tuple[str, int, int]]:
             else:
                 i = end[i] - (not own[i])
             continue
-        if name == "a":
-            in_link = 1
+        if name == "a":  # a link without end tag ends with its block
+            link_end, in_open_link = end[i], not own[i]
         elif name in ARTICLE:
             region += 1 if not inside else 0
             inside += 1
@@ -203,38 +206,41 @@ def lines(page: str, wrapped: bool = False) -> list[tuple[str, int, int]]:
 def extract(page: str | None) -> str:
     """The kept lines of one page, joined by line feeds; empty for a null or empty page.
 
-    Runs of lines from a surge to a dive are kept.  In an article or main element each text is a
-    surge; where such a run holds a surge of the page, the runs outside of articles go."""
+    Runs of lines from a surge to a dive are kept, with their lines of links.  In an article or main
+    element each text, linked or not, is a surge; where such a run holds a surge of the page, the
+    runs outside of articles go."""
     if not page:
         return ""
     found = lines(page) or lines(page, wrapped=True)
     weights: list[int] = []
+    masses: list[int] = []  # weights, but of all characters in articles
     place: list[int] = []
     region = None
-    for _, weight, own in found:
+    for text, weight, own in found:
         if region is not None and own != region:
             weights += [0] * WINDOW
+            masses += [0] * WINDOW
         region = own
         place.append(len(weights))
         weights.append(weight)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    if not sums or not (peak := max(sums)):
-        return ""
-    surge = min(SURGE, peak / 2)
+        masses.append(len(text) if own % 2 else weight)
+    heights = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    sums = [sum(masses[i : i + WINDOW]) for i in range(len(masses))]
+    surge = min(SURGE, max(heights, default=0) / 2)
     back = {p: k for k, p in enumerate(place)}
     runs: list[tuple[int, int, bool, int]] = []  # surge point, dive point, in an article, highest window
     i = 0
-    while i < len(weights):
-        if not weights[i]:
+    while i < len(masses):
+        if not masses[i]:
             i += 1
             continue
         j = i
-        while j < len(weights) and sums[j]:  # a dive: a whole window without text
+        while j < len(masses) and sums[j]:  # a dive: a whole window without text
             j += 1
-        runs.append((i, j, bool(found[back[i]][2] % 2), max(sums[i:j])))
+        runs.append((i, j, bool(found[back[i]][2] % 2), max(heights[i:j])))
         i = max(j, i + 1)
     article = any(inner and high >= surge for _, _, inner, high in runs)
-    kept = [k for a, b, inner, high in runs if (inner if article else high >= surge) for p in range(a, b) if (k := back.get(p)) is not None and found[k][1]]
+    kept = [k for a, b, inner, high in runs if (inner if article else high >= surge) for p in range(a, b) if (k := back.get(p)) is not None]
     return "\n".join(found[k][0] for k in kept)
 
 

@@ -62,6 +62,22 @@ def test_articles_bound_the_runs():
     assert H.extract(f"<div class=widget><article><p>{LONG}</p></article></div>") == " ".join(LONG.split())
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1><a href=/x>Title</a></h1><p>{LONG}</p><ul><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li><li><a>four</a></li></ul><p>end</p></article>", f"Title\n{' '.join(LONG.split())}\none\ntwo\nthree\nfour\nend"),
+        (f"<article><h1><a href=/x>Title</h1><p>{LONG}</p><p>end</p></article>", f"Title\n{' '.join(LONG.split())}\nend"),
+        (f"<div><a href=/x>Open</div><div>{LONG}</div><div>end</div>", f"{' '.join(LONG.split())}\nend"),
+        (f"<div>{LONG}</div><div><a href=/x>{LONG}</a></div><div>end</div>", f"{' '.join(LONG.split())}\n{' '.join(LONG.split())}\nend"),
+        (f"<div>{LONG}</div>" + f"<a href=1><div>{COMMENT}</div><div>{COMMENT}</div></a>" * 2, " ".join(LONG.split())),
+        ("<article><a href=/x>only</a></article>", "only"),
+        (f"<div>{LONG}</div><article class=card><a href=/x>{COMMENT}</a></article>", " ".join(LONG.split())),
+    ],
+)
+def test_links_find_the_runs_but_drop_no_line_of_them(page, text):
+    assert H.extract(page) == text
+
+
 def test_many_open_elements_are_linear():
     for junk in ("<b>" * 50_000 + "<div></div>" * 50_000, "<div class=ad>" * 50_000 + "<article>", "<a><p></a>" * 50_000, "<td><p><i>" * 50_000):
         H.extract(junk)
