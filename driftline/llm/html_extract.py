@@ -14,6 +14,7 @@ import html
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,31 +36,49 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas".split())
 DROPPED = frozenset("head nav footer aside form button select dialog menu search fieldset label datalist output progress meter".split())
 ARTICLE = frozenset(("article", "main"))
+CONTAINERS = frozenset("article div dl ol section table ul".split())
+#: Elements within sentences.
+PHRASES = frozenset("abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
 #: Elements whose end tag may be left out, with the start tags that end them.
 IMPLIED = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "head": {"body"}} | dict.fromkeys(("td", "th"), frozenset("td th tr tbody tfoot thead".split()))
 
 #: Groups: a tag (1 to 3), a tag with unpaired quotes (4 to 6), text (7).  No branch looks past the
 #: next "<" outside quotes, so the scan is linear on broken markup too.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|\"[^\"]{0,999}\"|'[^']{0,999}')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^<>]*>|<[/a-zA-Z!?][^<>]*\Z|([^<]+|<)", re.DOTALL)
-_UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|footer|comments?|respond|disqus\w*|cookies?\w*|consent|notice\w*|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget\w*|pagination|pager|masthead|toolbar|skip-link|hidden|sr-only)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
-_ATTR = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.IGNORECASE)
-_COMMENTS = re.compile(r"(?:^|[\s_\"'=-])(?:comments?|respond|disqus\w*)(?:$|[\s_\"'-])", re.IGNORECASE)
+#: Words of class and id tokens.  A token names an unwanted element if all of its parts are of the
+#: three sets or numbers, and one is of the first two.
+_COMMENT_WORDS = frozenset("comment comments respond disqus".split())
+_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored promo promos promotion promotions banner banners nav navs navbar navigation menu menus menubar breadcrumb breadcrumbs sidebar sidebars footer cookie cookies cookiebar cookieconsent consent notice notices popup modal newsletter subscribe signup login share sharing social related recommend recommended recommendation recommendations widget widgets pagination pager masthead toolbar".split())
+_PLAIN = frozenset("area bar block bottom box btn button buttons card container form group header holder icons inner item items link links list main module outer panel post posts primary secondary articles stories section site slot thread title top unit wrap wrapper".split())
+_UNSEEN = frozenset(("hidden", "sr-only", "visually-hidden", "screen-reader-text", "skip-link"))
+_ATTR = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def _unwanted(attributes: str) -> bool:
+def _named(token: str, words: frozenset[str]) -> bool:
+    """Whether a whole class or id token is one of ``words``, beside plain parts and numbers."""
+    parts = [x for x in re.split(r"[-_]+", token.lower()) if x and not re.fullmatch(r"\d+(?:x\d+)?", x)]
+    return any(x in words for x in parts) and all(x in words or x in _WORDS or x in _COMMENT_WORDS or x in _PLAIN for x in parts)
+
+
+@lru_cache(4096)
+def _unwanted(name: str, attributes: str) -> str:
+    """Why an element holds no article text: "unseen", "comments", "named" or "" if it may hold some.
+    Names tell nothing of headings and parts of sentences, ids only of containers."""
+    found: dict[str, str] = {}
     for key, value in _ATTR.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and _UNWANTED.search(value):
-            return True
-        if key == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"):
-            return True
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+        found.setdefault(key.lower(), html.unescape(value[1:-1] if value[:1] in "\"'" and value[-1:] == value[:1] else value))
+    classes = found.get("class", "").split()
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.IGNORECASE):
+        return "unseen"
+    if any(x.lower() in _UNSEEN for x in classes) and not any(":" in x for x in classes):  # "hidden md:block" is seen
+        return "unseen"
+    if found.get("role", "").strip().lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"):
+        return "named"
+    if name in _HEADINGS or name in PHRASES:
+        return ""
+    tokens = classes + (found.get("id", "").split() if name in CONTAINERS else [])
+    return "comments" if any(_named(x, _COMMENT_WORDS) for x in tokens) else "named" if any(_named(x, _WORDS) for x in tokens) else ""
 
 
 def _tokens(page: str) -> list[tuple[str, bool, str]]:
@@ -179,9 +198,10 @@ def lines(page: str, wrapped: bool = False) -> list[tuple[str, int, int]]:
             elif in_header == 2 and name in _HEADINGS:
                 in_header = 1
             continue
-        if name not in VOID and name not in ("main", "body", "html") and (name in DROPPED or attributes and _unwanted(attributes)):
+        why = "dropped" if name in DROPPED else attributes and name not in VOID and name not in ("body", "html") and _unwanted(name, attributes)
+        if why and (name != "main" or why == "unseen"):
             # an element without an end tag does not reach into an article, nor a wrapper of main into that
-            firm = name in DROPPED or attributes and _COMMENTS.search(attributes)
+            firm = why != "named"
             until = [] if own[i] and firm else mains if own[i] and not wrapped else starts
             k = bisect_right(until, i)
             if k < len(until) and until[k] < end[i]:

@@ -78,6 +78,19 @@ def test_links_find_the_runs_but_drop_no_line_of_them(page, text):
     assert H.extract(page) == text
 
 
+@pytest.mark.parametrize("element", ["<h2 id=related-work>", "<h2 id=share-prices>", "<h2 class=banner>", "<p id=notice-period>", "<p id=comments>", "<div class=overflow-hidden>", "<div class='layout no-sidebar'>", "<div title='A hidden treasure'>", "<p data-class=ad data-x='class=ad id=ads'>", "<span class=comment>", "<div class='hidden md:block'>", "<section id=cookie-recipes>"])
+@pytest.mark.parametrize("around", ["<div>{}</div>", "<article>{}</article>"])
+def test_names_that_hold_an_unwanted_word_are_kept(element, around):
+    end = f"</{H.re.match('<([a-z0-9]+)', element)[1]}>"
+    assert H.extract(around.format(f"<p>{LONG}</p>{element}Some text{end}")).replace("\n", " ") == f"{' '.join(LONG.split())} Some text"
+
+
+@pytest.mark.parametrize("element", ["<div class='x ad'>", "<div class=ad-300x250>", "<section id=related-posts>", "<ul class='share-buttons'>", "<p class=Newsletter_Signup>", "<div id=\"disqus_thread\">", "<h2 class=sr-only>", "<p hidden>", "<p title='>' style='color:red; display : none'>", "<p aria-hidden=TRUE>", "<div role=navigation>", "<main hidden>"])
+def test_whole_unwanted_names_are_dropped(element):
+    end = f"</{H.re.match('<([a-z0-9]+)', element)[1]}>"
+    assert H.extract(f"<article><p>{LONG}</p>{element}{COMMENT}{end}</article>") == " ".join(LONG.split())
+
+
 def test_many_open_elements_are_linear():
     for junk in ("<b>" * 50_000 + "<div></div>" * 50_000, "<div class=ad>" * 50_000 + "<article>", "<a><p></a>" * 50_000, "<td><p><i>" * 50_000):
         H.extract(junk)
