@@ -42,9 +42,15 @@ PHRASES = frozenset("abbr b bdi bdo cite code data del dfn em font i ins kbd mar
 #: Elements whose end tag may be left out, with the start tags that end them.
 IMPLIED = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "head": {"body"}} | dict.fromkeys(("td", "th"), frozenset("td th tr tbody tfoot thead".split()))
 
-#: Groups: a tag (1 to 3), a tag with unpaired quotes (4 to 6), text (7).  No branch looks past the
-#: next "<" outside quotes, so the scan is linear on broken markup too.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|\"[^\"]{0,999}\"|'[^']{0,999}')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^<>]*>|<[/a-zA-Z!?][^<>]*\Z|([^<]+|<)", re.DOTALL)
+#: Groups: a tag without "<" in its attributes (1 to 3), the start of any other tag (4, 5), text (6).
+#: A quote opens a value only after "=".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>=\"']*+)((?:[^<>=]|=\s*+\"[^\"<]*+\"|=\s*+'[^'<]*+'|=(?!\s*+[\"']))*+)>|<(/?)([a-zA-Z][^\s/<>=\"']*+)|<[!?][^<>]*>|<[/!?][^<>]*\Z|([^<]+|<)", re.DOTALL)
+#: What leads to the next value in quotes, or to the tag's end.
+_STEP = re.compile(r"(?:[^<>=]|=(?!\s*+[\"']))*+(?:=\s*+([\"'])|>)")
+#: A tag whose quotes do not pair.
+_LOOSE = re.compile(r"[^<>]*+>")
+
+
 #: Words of class and id tokens.  A token names an unwanted element if all of its parts are of the
 #: three sets or numbers, and one is of the first two.
 _COMMENT_WORDS = frozenset("comment comments respond disqus".split())
@@ -81,21 +87,61 @@ def _unwanted(name: str, attributes: str) -> str:
     return "comments" if any(_named(x, _COMMENT_WORDS) for x in tokens) else "named" if any(_named(x, _WORDS) for x in tokens) else ""
 
 
+class _Tags:
+    """Finds where the tags of a page end that hold "<" or unpaired quotes.  Values that led nowhere
+    are remembered, so broken pages take linear time too."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.lost: set[int] = set()
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """The place behind the tag whose attributes start at ``at``, or -1 if it is none.  A value
+        without a closing quote, or one whose "closing" quote opens the next value, is loose."""
+        page, start, seen = self.page, at, []
+        while m := _STEP.match(page, at):
+            if not m[1]:
+                return m.end()
+            if m.end() in self.lost:
+                break
+            seen.append(m.end())
+            if self.last[m[1]] < m.end():
+                break
+            close = page.index(m[1], m.end())
+            follows = page[close + 1 : close + 2]
+            if page[close - 1] == "=" and close > m.end() and follows and follows not in "/>" and not follows.isspace() and (loose := _LOOSE.match(page, m.end())) and loose.end() <= close:
+                return loose.end()
+            at = close + 1
+        self.lost.update(seen)
+        loose = _LOOSE.match(page, start)
+        return loose.end() if loose else -1
+
+
 def _tokens(page: str) -> list[tuple[str, bool, str]]:
     """(name, is an end tag, attributes) of each tag and ("", False, text) of each text.  Raw elements
     leave a start tag alone; comments and declarations leave nothing."""
     out: list[tuple[str, bool, str]] = []
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), None
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
-        if m[7] is not None:
-            out.append(("", False, m[7]))
+        if m[6] is not None:
+            out.append(("", False, m[6]))
             continue
-        name = m[2] or m[5]
+        closing, name, attributes = bool(m[1] or m[4]), m[2] or m[5], m[3]
         if name is None:
             continue
-        closing, name, attributes = bool(m[1] or m[4]), name.lower(), m[3] if m[2] else m[6]
+        if attributes is None:
+            tags = tags or _Tags(page)
+            end = tags.end(at)
+            if end < 0:  # no tag; at the page's end it is one cut off
+                if page.find("<", at) >= 0:
+                    out.append(("", False, m[0]))
+                    continue
+                break
+            attributes, at = page[at : end - 1], end
+        name = name.lower()
         if name in RAW and not closing and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n

@@ -91,6 +91,33 @@ def test_whole_unwanted_names_are_dropped(element):
     assert H.extract(f"<article><p>{LONG}</p>{element}{COMMENT}{end}</article>") == " ".join(LONG.split())
 
 
+@pytest.mark.parametrize("size", [0, 500, 999, 1000, 1500, 100_000])
+@pytest.mark.parametrize("quote", ["\"", "'"])
+def test_quoted_values_of_any_size_are_no_text(size, quote):
+    for value in ("<b>" + "y" * size, "<script>" + "y" * size + "<style>", "y" * size + "</div><p>no"):
+        assert H.extract(f"<div data-x={quote}{value}{quote} data-y = {quote}>{quote}>Text</div><p>more") == "Text\nmore"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<main><p><a href="foo>{LONG}</a><p>end', f"{' '.join(LONG.split())}\nend"),
+        (f'<article><p><a href="foo>{LONG}</a></p><p class="x">end</p></article>', f"{' '.join(LONG.split())}\nend"),
+        ("<p title=it's>one</p><p>two's</p>", "one\ntwo's"),
+        ('<p a"b>one</p><p>two"</p>', 'one\ntwo"'),
+        ("<p>a <b and c < d", "a <b and c < d"),
+        ("<p>text</p><p clas", "text"),
+    ],
+)
+def test_unpaired_quotes(page, text):
+    assert H.extract(page) == text
+
+
+def test_broken_values_are_linear():
+    for junk in ('<a x="<b y=z" ' * 50_000, '<a x="<"' + 'y="<b "' * 50_000, '<a x=">" ' * 50_000, "<a x='<b \"" * 50_000, '<a x="' * 50_000, "<a x= " * 50_000, '<a x="<b \'="' * 50_000):
+        H.extract(junk)
+
+
 def test_many_open_elements_are_linear():
     for junk in ("<b>" * 50_000 + "<div></div>" * 50_000, "<div class=ad>" * 50_000 + "<article>", "<a><p></a>" * 50_000, "<td><p><i>" * 50_000):
         H.extract(junk)
