@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import bpe, decontam, ngram_join, quality, suffix_dedup
-from driftline.llm.common import shared_dir, table
+from driftline.llm.common import cut, shared_dir, table
 
 #: Documents scored below this are rejected.
 QUALITY = 0.3
@@ -25,19 +25,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies.  Rows that repeat its
-    id and text stay one; documents without words or without id all stay."""
-    grouped = ngram_join.group_documents(docs, ngram_join.Rule(5, 80, 100))
-    copies = grouped.filter("n_shingles > 0 and id is not null and id != component_id").select("id").distinct()
-    rest = docs.join(copies, docs["doc_id"] == copies["id"], "left_anti")
+    """One document, that of the smallest id, of each group of near copies.  A row is its id and its
+    text, by a 64-bit key, so another text under the id of a copy stays; of texts under the smallest
+    id the least key stays.  Exact repeats of a kept row stay, and rows without words or without id."""
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    grouped = ngram_join.group_documents(docs.select(key.alias("row"), "text"), ngram_join.Rule(5, 80, 100), "row")
+    placed = grouped.filter("n_shingles > 0 and id is not null").select(F.col("id").alias("row"), F.col("component_id").alias("component")).distinct()
+    known = docs.select(key.alias("row"), "doc_id").filter("row is not null").groupBy("row").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("id_to"))
+    one = F.when(F.col("id") == F.col("id_to"), F.col("id")).otherwise(F.raise_error(F.lit("two different ids have one 64-bit key")).cast("long"))
+    rows = cut(placed.join(known, "row").select("component", F.struct(one.alias("id"), "row").alias("own")))
+    first = rows.groupBy("component").agg(F.min("own").alias("first"), F.count("*").alias("size")).filter("size > 1")
+    copies = rows.join(first, "component").filter("own != first").select(F.col("own.id").alias("copy_id"), F.col("own.row").alias("copy_key"))
+    rest = docs.join(copies, (docs["doc_id"] == F.col("copy_id")) & (key == F.col("copy_key")), "left_anti")
     return rest.select(docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document holds.  A character goes only if all of
     its bytes go; ``n_chars`` follows the text."""
-    cut = suffix_dedup.dedup_texts(docs)
-    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    shortened = suffix_dedup.dedup_texts(docs)
+    return shortened.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,13 @@ def test_stages_take_odd_rows(spark):
     left = Counter(r.doc_id for r in P.near_duplicate_stage(spark, docs, DATA).collect())
     assert left == Counter({1: 1, None: 1, 2: 1, 3: 2, 4: 1})
     assert {r.doc_id: r.text for r in suffix_dedup.dedup_texts(docs).collect()}[None] == ""
+
+
+def test_near_copies_go_by_row(spark, prose):
+    copied, clean, third = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, copied), (2, copied + " more"), (2, clean), (3, third + " a"), (3, third + " b"), (3, third + " b"), (4, clean), (4, None), (None, clean)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = Counter((r.doc_id, r.text) for r in P.near_duplicate_stage(spark, docs, DATA).collect())
+    third_left = {t: n for (i, t), n in left.items() if i == 3}
+    assert third_left in ({third + " a": 1}, {third + " b": 2})
+    assert {k: n for k, n in left.items() if k[0] != 3} == {(1, copied): 1, (2, clean): 1, (4, None): 1, (None, clean): 1}
