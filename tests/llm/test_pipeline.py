@@ -1,12 +1,17 @@
 import base64
+import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline as P
+import numpy as np
 import public_tokenizers
 import tiktoken
 
 from driftline.llm import quality, suffix_dedup
 from tests.llm.test_ngram_join import brute as groups
+from tests.llm.test_ngram_join import shingles
+from tests.llm.test_rest import windows
 from tests.llm.test_suffix_dedup import brute as cuts
 
 DATA = "/root/testdata/sf0.001"
@@ -81,3 +86,43 @@ def test_near_copies_go_by_row(spark, prose):
     third_left = {t: n for (i, t), n in left.items() if i == 3}
     assert third_left in ({third + " a": 1}, {third + " b": 2})
     assert {k: n for k, n in left.items() if k[0] != 3} == {(1, copied): 1, (2, clean): 1, (4, None): 1, (None, clean): 1}
+
+
+def test_run_equals_a_plain_chain(spark):
+    """All stages by brute force, ids and token ids, on texts of every length."""
+    read = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet").collect()
+    rows = [(r.doc_id, r.text or "") for r in read("documents")]
+    n_all = len(rows)
+
+    stats = {i: quality.statistics(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for i, t in rows}
+    label = {r.doc_id: r.quality for r in read("labels") if r.quality in (0, 1) and r.doc_id in stats and zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
+    own = {k: np.array([stats[i] for i, x in label.items() if x == k]) for k in (0, 1)}
+    model = quality.fit({k: (float(len(x)), x.sum(0), x.T @ x) for k, x in own.items()})
+    rows = [(i, t) for i, t in rows if model.score(stats[i][None])[0] >= P.QUALITY]
+    n_good = len(rows)
+
+    least = {i: c for i, _, c in groups(rows, P.ngram_join.Rule(5, 80, 100))}
+    rows = [(i, t) for i, t in rows if least[i] == i]
+    n_single = len(rows)
+
+    spans_of = {i: spans for i, _, spans, _ in cuts(rows)}
+    whole = {i: b"".join(c for c, at in _characters(t.encode()) if not any(s <= at and at + len(c) <= e for s, e in spans_of[i])).decode() for i, t in rows}
+    assert whole != dict(rows)
+
+    items = [(r.item_id, r.text) for r in read("benchmark")]
+    word = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+    grams = lambda t: shingles(" ".join(word.findall(t or "")), 5)
+    parts = {j: grams(t) for j, t in items}
+    leaked = set()
+    for i, t in whole.items():
+        has = grams(t)
+        near = [(j, u) for j, u in items if len(word.findall(u or "")) < 5 or parts[j] & has]  # others share nothing
+        leaked |= {d for d, *_ in windows([(i, t)], near)}
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = {i: plain.encode_ordinary(t) for i, t in whole.items() if i not in leaked}
+    assert n_all > n_good > n_single > 0
+    got = [(r.doc_id, r.ids) for r in P.run(spark, DATA).collect()]
+    assert len(got) == len(expected) and dict(got) == expected
