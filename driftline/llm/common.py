@@ -24,6 +24,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def keep_clashing(df: DataFrame, *made: str) -> DataFrame:
+    """``df`` with columns that bear the name of a column to be made renamed to it with ``_input``
+    behind (and underscores, until the name is free).  Names are compared without regard to case."""
+    taken = {c.lower() for c in (*df.columns, *made)}
+    for c in df.columns:
+        if c.lower() in {m.lower() for m in made}:
+            name = f"{c}_input"
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            df = df.withColumnRenamed(c, name)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.  Only where that is unset
     (a local session in tests) a temporary folder becomes the checkpoint folder."""

@@ -1,11 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element.  Elements that never
-hold article text (menus, forms, scripts, adverts, comments ...) leave no line.
-Each remaining line weighs its visible characters outside links.  Sums over a
-sliding window of lines rise at a surge point and fall to nothing at a dive
-point; the text between is kept.  The edges of an article or main element are
-gaps in the line sequence, so no window reaches across them.
+Markup is stripped into lines, one per block of text; scripts, styles, form
+controls and what is not shown leave none.  A line weighs its characters outside
+links, one in an article or main element more, one in a menu, footer, advert or
+the like nothing.  Tags that only lay out the page leave lines without text.
+Sums over a sliding window of lines rise at a surge point and fall to nothing at
+a dive point; the text between is kept where a window is high enough.
 """
 
 from __future__ import annotations
@@ -15,18 +15,21 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import small_batches
+from driftline.llm.common import keep_clashing, small_batches
 
 #: Lines per window.
 WINDOW = 3
 #: Characters in a window that mark a surge on an ordinary page.
 SURGE = 86
+#: Weight of a character in an article or main element; one elsewhere weighs 1.
+ARTICLE_WEIGHT = 16
 #: Share of a line's characters inside links above which it weighs nothing.
 LINK_SHARE = 0.5
 
@@ -34,7 +37,9 @@ LINK_SHARE = 0.5
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas".split())
-DROPPED = frozenset("head nav footer aside form button select dialog menu search fieldset label datalist output progress meter".split())
+CONTROLS = frozenset("head form button select dialog search fieldset label datalist output progress meter".split())
+ASIDES = frozenset("nav footer aside menu".split())
+LAYOUT = frozenset("article aside body center div footer header main nav section table tbody td th tr".split())
 ARTICLE = frozenset(("article", "main"))
 CONTAINERS = frozenset("article div dl ol section table ul".split())
 #: Elements within sentences.
@@ -193,25 +198,40 @@ def _ends(tokens: list[tuple[str, bool, str]]) -> tuple[list[int], bytearray]:
     return end, own
 
 
-def lines(page: str, wrapped: bool = False) -> list[tuple[str, int, int]]:
-    """(text, weight outside links, region) of each non-empty line.  ``region`` counts article and main elements
-    as odd numbers and what lies around them as even ones.  ``wrapped``: read articles within
-    elements of unwanted names too, save comments."""
-    out: list[tuple[str, int, int]] = []
+class Line(NamedTuple):
+    """One block of text.  ``weight``: characters outside links, none where links hold most of them.
+    ``region`` counts article and main elements as odd numbers and what lies around them as even
+    ones.  ``aside``: in an element that holds no article text.  ``empty``: start and end tags of
+    layout elements since the line before, each a line without text; the line's own are not."""
+
+    text: str
+    weight: int
+    region: int
+    aside: bool
+    empty: int
+
+
+def lines(page: str, wrapped: bool = False) -> list[Line]:
+    """The non-empty lines of a page, those of menus, footers and the like included.  ``wrapped``:
+    an unwanted name of an element does not reach into articles in it, save for comments."""
+    out: list[Line] = []
     parts: list[str] = []
-    linked = region = inside = 0
+    linked = region = inside = empty = 0
     link_end, in_open_link = -1, False
-    in_header = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                n = len(text) - text.count(" ")
-                out.append((text, 0 if linked > LINK_SHARE * n else n, region))
-            parts.clear()
+    in_header = aside_end = 0
+    aside = own_start = False
+
+    def flush() -> bool:
+        """Ends a line; whether there is one."""
+        nonlocal linked, empty
+        text = " ".join("".join(parts).split())
+        if text:
+            n = len(text) - text.count(" ")
+            out.append(Line(text, 0 if linked > LINK_SHARE * n else n, region, aside, max(0, empty - own_start)))
+            empty = 0
+        parts.clear()
         linked = 0
+        return bool(text)
 
     tokens = _tokens(page)
     end, own = _ends(tokens)
@@ -219,16 +239,21 @@ def lines(page: str, wrapped: bool = False) -> list[tuple[str, int, int]]:
     mains = [i for i in starts if tokens[i][0] == "main"]
     i = -1
     while (i := i + 1) < len(tokens):
+        if aside_end and i >= aside_end:
+            flush()
+            aside_end = 0
         name, closing, attributes = tokens[i]
         if not name:
-            if not (in_header and in_header != 2):
-                text = html.unescape(attributes)
-                parts.append(text)
-                if i < link_end:
-                    linked += len("".join(text.split()))
+            aside = bool(aside_end) or in_header == 1
+            text = html.unescape(attributes)
+            parts.append(text)
+            if i < link_end:
+                linked += len("".join(text.split()))
             continue
         if name in BLOCKS:
-            flush()
+            ended = flush()
+            own_start = name in LAYOUT
+            empty += own_start and not ended
             if in_open_link:
                 link_end, in_open_link = i, False
         elif name == "br":
@@ -236,6 +261,8 @@ def lines(page: str, wrapped: bool = False) -> list[tuple[str, int, int]]:
         if name in RAW and not closing:
             continue
         if closing:
+            if aside_end:
+                continue
             if name in ARTICLE and inside:
                 inside -= 1
                 region += 1 if not inside else 0
@@ -244,16 +271,18 @@ def lines(page: str, wrapped: bool = False) -> list[tuple[str, int, int]]:
             elif in_header == 2 and name in _HEADINGS:
                 in_header = 1
             continue
-        why = "dropped" if name in DROPPED else attributes and name not in VOID and name not in ("body", "html") and _unwanted(name, attributes)
+        why = "control" if name in CONTROLS else "aside" if name in ASIDES else attributes and name not in VOID and name not in ("body", "html") and _unwanted(name, attributes)
         if why and (name != "main" or why == "unseen"):
             # an element without an end tag does not reach into an article, nor a wrapper of main into that
-            firm = why != "named"
-            until = [] if own[i] and firm else mains if own[i] and not wrapped else starts
+            until = [] if own[i] and why != "named" else mains if own[i] and not wrapped else starts
             k = bisect_right(until, i)
-            if k < len(until) and until[k] < end[i]:
-                i = until[k] - 1
-            else:
-                i = end[i] - (not own[i])
+            reach = until[k] if k < len(until) and until[k] < end[i] else end[i] + own[i]
+            if why in ("control", "unseen") or name not in BLOCKS:
+                i = reach - 1
+            elif not aside_end:
+                aside_end = reach
+            continue
+        if aside_end:
             continue
         if name == "a":  # a link without end tag ends with its block
             link_end, in_open_link = end[i], not own[i]
@@ -269,51 +298,69 @@ def lines(page: str, wrapped: bool = False) -> list[tuple[str, int, int]]:
     return out
 
 
-def extract(page: str | None) -> str:
-    """The kept lines of one page, joined by line feeds; empty for a null or empty page.
-
-    Runs of lines from a surge to a dive are kept, with their lines of links.  In an article or main
-    element each text, linked or not, is a surge; where such a run holds a surge of the page, the
-    runs outside of articles go."""
-    if not page:
-        return ""
-    found = lines(page) or lines(page, wrapped=True)
-    weights: list[int] = []
-    masses: list[int] = []  # weights, but of all characters in articles
-    place: list[int] = []
-    region = None
-    for text, weight, own in found:
-        if region is not None and own != region:
-            weights += [0] * WINDOW
-            masses += [0] * WINDOW
-        region = own
-        place.append(len(weights))
-        weights.append(weight)
-        masses.append(len(text) if own % 2 else weight)
-    heights = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    sums = [sum(masses[i : i + WINDOW]) for i in range(len(masses))]
-    surge = min(SURGE, max(heights, default=0) / 2)
-    back = {p: k for k, p in enumerate(place)}
-    runs: list[tuple[int, int, bool, int]] = []  # surge point, dive point, in an article, highest window
+def select(found: list[Line]) -> list[int]:
+    """The places of the lines that line blocks keep.
+
+    The lines stand in page order among empty ones: as many as layout tags lie between two lines
+    outside of articles, a whole window of them at the edges of articles and in place of a line
+    aside.  (In an article a line aside is left out and interrupts nothing.)  A run starts at a
+    surge, a line with weight, and ends at a dive, a window without any.  In articles each line has
+    weight, as links may be text there; so a run holds lines of links between its ends too.
+
+    A run is kept if its highest window reaches the surge level: SURGE characters, or half of the
+    highest such window where none has so many.  A character in an article weighs as ARTICLE_WEIGHT
+    others, and where there are any the level is at least an eighth of the highest window in one:
+    text outside of articles must be twice as dense as the densest in them."""
+    weights: list[int] = []  # what windows add up
+    bounds: list[int] = []  # what surges and dives are seen by
+    line_at: dict[int, int] = {}
+    gap = inner = False
+    for k, line in enumerate(found):
+        if line.aside:
+            gap = gap or not line.region % 2
+            continue
+        n = WINDOW if gap or inner != line.region % 2 else 0 if inner else min(WINDOW, line.empty)
+        gap, inner = False, bool(line.region % 2)
+        weights += [0] * n
+        bounds += [0] * n
+        line_at[len(weights)] = k
+        weights.append(line.weight * (ARTICLE_WEIGHT if inner else 1))
+        bounds.append(len(line.text) if inner else line.weight)
+    heights, sums = ([sum(x[i : i + WINDOW]) for i in range(len(x))] for x in (weights, bounds))
+    runs: list[tuple[int, int, int, bool]] = []  # surge point, dive point, highest window, in an article
     i = 0
-    while i < len(masses):
-        if not masses[i]:
+    while i < len(bounds):
+        if not bounds[i]:
             i += 1
             continue
         j = i
-        while j < len(masses) and sums[j]:  # a dive: a whole window without text
+        while j < len(bounds) and sums[j]:
             j += 1
-        runs.append((i, j, bool(found[back[i]][2] % 2), max(heights[i:j])))
-        i = max(j, i + 1)
-    article = any(inner and high >= surge for _, _, inner, high in runs)
-    kept = [k for a, b, inner, high in runs if (inner if article else high >= surge) for p in range(a, b) if (k := back.get(p)) is not None]
-    return "\n".join(found[k][0] for k in kept)
+        runs.append((i, j, max(heights[i:j]), bool(found[line_at[i]].region % 2)))
+        i = j
+    top = [max((high for _, _, high, of in runs if of == kind), default=0) for kind in (False, True)]
+    level = max(min(SURGE, top[0] / 2), top[1] / 8)
+    return [line_at[p] for a, b, high, _ in runs if high >= level for p in range(a, b) if p in line_at]
+
+
+def extract(page: str | None) -> str:
+    """The kept lines of one page, joined by line feeds; empty for a null or empty page and one
+    without text."""
+    if not page:
+        return ""
+    found = lines(page)
+    if all(x.aside for x in found):
+        found = lines(page, wrapped=True)
+    return "\n".join(found[k].text for k in select(found))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """Replace ``html_col`` by ``text_col``, the main text; other columns stay.  Null or empty html
-    gives an empty text; repeated rows are each extracted; no shuffle."""
-    fields = [f for f in pages.schema.fields if f.name not in (html_col, text_col)]
+    """Replace ``html_col`` by ``text_col``, the main text; other columns stay, one of the name
+    ``text_col`` as ``text_col`` with "_input" behind.  Null or empty html gives an empty text;
+    repeated rows are each extracted; an empty table gives none; no shuffle."""
+    if text_col.lower() != html_col.lower():
+        pages = keep_clashing(pages, text_col)
+    fields = [f for f in pages.schema.fields if f.name != html_col]
     kept = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

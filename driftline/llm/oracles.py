@@ -22,6 +22,14 @@ SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BI
 FROM b JOIN kept USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+#: The given pages have one article each, of h1 and p blocks; character references in them are of four kinds.
+OP3 = r"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:h1|p)>') AS parts FROM pages),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+  replace(replace(replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS raw FROM a)
+SELECT page_id, url, regexp_replace(raw, '&amp;?', '&', 'g') AS text, CAST(length(regexp_replace(raw, '&amp;?', '&', 'g')) AS BIGINT) AS n_chars FROM t
+"""
+
 OP5 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_FOLD}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
@@ -47,4 +55,4 @@ m AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id), n AS (SELECT a,
 SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN m ON v.vec_id = m.id LEFT JOIN n ON v.vec_id = n.a
 """
 
-ORACLES = {"op1_suffix_array_dedup": OP1, "op5_ngram_jaccard": OP5, "op6_warc": OP6, "op7_embedding_dedup": OP7}
+ORACLES = {"op1_suffix_array_dedup": OP1, "op3_html_extraction": OP3, "op5_ngram_jaccard": OP5, "op6_warc": OP6, "op7_embedding_dedup": OP7}

@@ -57,7 +57,9 @@ def test_articles_of_comments_and_asides_are_no_text(page):
 
 def test_articles_bound_the_runs():
     outer = f"<div><p>{COMMENT}</p></div>"
-    assert H.extract(f"{outer}<article><p>{LONG}</p></article>{outer}<article><p>x</p></article>") == f"{' '.join(LONG.split())}\nx"
+    assert H.extract(f"{outer}<article><p>{LONG}</p></article>{outer}<article><p>x</p></article>") == " ".join(LONG.split())
+    assert H.extract(f"{outer}<article><p>{LONG}</p></article><article><p>x</p></article>{outer}") == f"{' '.join(LONG.split())}\nx"
+    assert H.extract(f"<article><p>{LONG}</p></article><div>{COMMENT * 9}</div>") == f"{' '.join(LONG.split())}\n{' '.join((COMMENT * 9).split())}"  # twice as dense
     assert H.extract(f"{outer}<article><p>x</p></article>") == " ".join(COMMENT.split())
     assert H.extract(f"<div class=widget><article><p>{LONG}</p></article></div>") == " ".join(LONG.split())
 
@@ -123,6 +125,52 @@ def test_many_open_elements_are_linear():
         H.extract(junk)
 
 
+PLAIN = " ".join(LONG.split())
+
+
+def test_windows_tell_the_article_from_the_rest(data):
+    """Without the windows' choice nearly each page has text that does not belong to the article."""
+    import pyarrow.parquet as pq
+
+    html = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    own = [H.extract(x) for x in html]
+    assert sum("\n".join(y.text for y in H.lines(x or "")) != t for x, t in zip(html, own)) > 0.9 * len(html)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div><div><a href=1>Home</a></div><div><a href=2>News</a></div><div><a href=3>About</a></div></div><div><div>{0}</div><div>{0}</div><div>Of.</div></div><div><div><div><div>All rights</div></div></div></div>",
+        "<div><div><div>Slogan</div></div></div><div><div><div><b>{0}</b></div><div>{0}</div><div>Of.</div></div></div><div><div><a href=1>one</a><a href=2>two</a></div></div>",
+        "<table><tr><td><a href=1>x</a><td><a href=1>y</a></table><table><tr><td><p>{0}<p>{0}<p>Of.</table><table><tr><td><table><tr><td>small print</table></table>",
+    ],
+)
+def test_pages_without_telling_tags_or_names(page):
+    assert H.extract(page.format(PLAIN)) == f"{PLAIN}\n{PLAIN}\nOf."
+
+
+def test_what_looks_like_a_menu_inside_the_text_survives():
+    page = "<div>{0}</div><div class=related-work><h2>Related work</h2><p>see <a href=x>a long title of another text</a></p></div><div>{0}</div>".format(PLAIN)
+    text = f"{PLAIN}\nRelated work\nsee a long title of another text\n{PLAIN}"
+    assert H.extract(page) == text
+    assert H.extract(f"<article>{page}</article>") == text
+
+
+def test_lines_aside_inside_an_article_interrupt_nothing():
+    page = "<article><p>{0}</p><div class=ad>Buy</div><nav><a href=1>next</a></nav><p>Of.</p><footer>by me</footer></article>"
+    assert H.extract(page.format(PLAIN)) == f"{PLAIN}\nOf."
+
+
+def test_extract_pages_takes_odd_tables(spark):
+    rows = [(None, "u", None, "mine", 1), (1, None, f"<p>{PLAIN}", None, 2), (1, None, f"<p>{PLAIN}", None, 2), (2, "", "", "x", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, TEXT_input int")
+    got = H.extract_pages(df)
+    assert got.columns == ["page_id", "url", "text_input_", "TEXT_input", "text"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(None, "u", "mine", 1, ""), (1, None, None, 2, PLAIN), (1, None, None, 2, PLAIN), (2, "", "x", None, "")], key=str)
+    assert H.extract_pages(df.limit(0)).count() == 0
+    assert H.extract_pages(df.select("html").filter("html <> ''").limit(1), text_col="html").collect()[0][0] == PLAIN
+
+
 def test_sf_pages(spark, data):
     got = H.extract_pages(spark.read.parquet(f"{data}/pages.parquet")).collect()
     assert len(got) == 50
