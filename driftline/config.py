@@ -82,6 +82,8 @@ class Config:
     default_profile: str = "none"
     profiles: dict[str, Profile] = field(default_factory=lambda: dict(PROFILES))
     resolutions: tuple[int, ...] = (3, 4, 5, 6)
+    #: Key of ``functions.geo.CELL_SYSTEMS``.
+    cells: str = "grid"
     spark: dict[str, str] = field(default_factory=dict)
 
     def profile(self, name: str | None = None) -> Profile:
@@ -125,4 +127,4 @@ def load(path: str | Path) -> Config:
             {c: p[f"min_samples_{c}"] for c in EMERGENCY_CODES if f"min_samples_{c}" in p},
         )
     spark = {k: str(v) for k, v in raw.get("spark", {}).items()}
-    return Config(raw.get("data_dir", base.data_dir), rules, gates, inc.get("default_profile", base.default_profile), profiles, tuple(raw.get("aggregation", {}).get("resolutions", base.resolutions)), spark)
+    return Config(raw.get("data_dir", base.data_dir), rules, gates, inc.get("default_profile", base.default_profile), profiles, tuple(raw.get("aggregation", {}).get("resolutions", base.resolutions)), raw.get("aggregation", {}).get("cells", base.cells), spark)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,6 +58,34 @@ def h3_cell(lat: Column, lon: Column, resolution: int) -> Column:
     return cell(lat, lon)
 
 
+def h3_ring(cell: Column, resolution: int) -> Column:
+    """Closed outline [[lon, lat], ...] of an H3 cell through the h3 library, where it is installed."""
+    import h3  # noqa: F401  fails here, on the driver, where the library is missing
+
+    @F.pandas_udf("array<array<double>>")
+    def ring(cells):  # noqa: ANN001, ANN202
+        import h3
+
+        def one(c):  # noqa: ANN001, ANN202
+            corners = [[lon, lat] for lat, lon in h3.cell_to_boundary(h3.int_to_str(int(c)))]
+            return [*corners, corners[0]]
+
+        return cells.map(one, na_action="ignore")
+
+    return ring(cell)
+
+
+@dataclass(frozen=True)
+class CellSystem:
+    """Cells and their outlines belong together."""
+
+    cell: CellFunction
+    ring: Callable[[Column, int], Column]
+
+
+CELL_SYSTEMS = {"grid": CellSystem(grid_cell, grid_ring), "h3": CellSystem(h3_cell, h3_ring)}
+
+
 def replay_url(base: str, icao24: Column, time: Column, lat: Column, lon: Column, zoom: int = 10) -> Column:
     """Link to a replay of a trip around a time."""
     day = F.date_format(F.timestamp_seconds(time), "yyyy-MM-dd")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import subprocess
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from driftline.config import EMERGENCY_CODES
 from driftline.functions.geo import grid_ring
 
-#: Properties of a feature, in order.
+# Properties of a feature, in order.
 INCIDENT_PROPERTIES = ("incidents_unique", "aircraft_with_incidents", "incidents_coverage", "total_segments", "emergency_types_list", "emergency_type_diversity", "predominant_emergency_type", "incident_rate", *(f"incidents_{c}" for c in EMERGENCY_CODES))
 PROPERTIES = ("h3_cell", "h3_res", "unique_segments", "unique_aircraft", "total_points", *INCIDENT_PROPERTIES)
 
@@ -60,10 +62,29 @@ def zoom_range(resolution: int) -> tuple[int, int]:
     return ZOOMS.get(resolution, (resolution, resolution + 4))
 
 
-def tile_command(source: str, target: str, resolution: int, attributes: tuple[str, ...] = PROPERTIES) -> list[str]:
-    """Command line of the external tile builder; the caller runs it."""
+# Options of the tile builder.
+TILE_OPTIONS = "--layer=h3_cells --minimum-zoom={low} --maximum-zoom={high} --maximum-tile-features=10000 --simplification=10 --force --drop-densest-as-needed --extend-zooms-if-still-dropping -P"
+TILE_BUILDER = "tippecanoe"
+
+
+def tile_command(sources: str | Sequence[str], target: str, resolution: int, attributes: Sequence[str] = PROPERTIES) -> list[str]:
+    """Command line that builds a tile set from files of GeoJSON lines; no ``attributes`` keeps all."""
+    files = [sources] if isinstance(sources, str) else sources
     low, high = zoom_range(resolution)
-    options = {"--layer": "h3_cells", "--minimum-zoom": low, "--maximum-zoom": high, "--maximum-tile-features": 10000, "--simplification": 10}
-    flags = ["--force", "--drop-densest-as-needed", "--extend-zooms-if-still-dropping"]
-    parallel = ["-P"] if source.lower().endswith((".geojsonl", ".gz")) else []
-    return ["tippecanoe", "-o", target, *(f"{k}={v}" for k, v in options.items()), *flags, *parallel, *(x for a in attributes for x in ("--include", a)), source]
+    kept = [word for name in attributes for word in ("--include", name)]
+    return [TILE_BUILDER, "-o", target, *TILE_OPTIONS.format(low=low, high=high).split(), *kept, *files]
+
+
+def build_tiles(command: Sequence[str], run: Callable[..., subprocess.CompletedProcess] = subprocess.run) -> str:
+    """Run a command of :func:`tile_command`; the path of the tile set.  A missing tool, an exit code
+    other than zero and a tile set that is not there afterwards are errors."""
+    target = command[command.index("-o") + 1]
+    try:
+        done = run(list(command), capture_output=True, text=True, check=False)
+    except FileNotFoundError as e:
+        raise RuntimeError(f"{command[0]} is not installed") from e
+    if done.returncode:
+        raise RuntimeError(f"{command[0]} ended with {done.returncode}: {done.stderr}")
+    if not os.path.exists(target):
+        raise RuntimeError(f"{command[0]} left no {target}")
+    return target

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from driftline.config import SegmentRules
 from driftline.functions.geo import haversine_km
 
+#: Characters of an aircraft address that name its part (hexadecimal: 4096 parts).
+LEADING = 3
 POINT_FIELDS = ("time", "lat", "lon", "squawk", "onground", "alert")
 
 
@@ -75,12 +77,15 @@ def flatten(segments: DataFrame, keep: Sequence[str] = ("segment_id", "icao24",
 
 
 def volume_batches(states: DataFrame, batch_size: int) -> DataFrame:
-    """(icao24, point_count, batch_id): aircraft dealt by running volume into ceil(n / batch_size)
-    batches.  The running sum needs one ordered pass over one row per aircraft; plans rely on hash
-    partitioning instead and use this only to size work."""
-    counts = states.filter("lat is not null and lon is not null").groupBy("icao24").agg(F.count("*").alias("point_count"))
+    """(icao24, point_count, batch_id): aircraft dealt by running volume, in the order of their
+    addresses, into ceil(n / batch_size) batches.  The running sum is one over the few leading parts
+    of addresses plus one within each part, so no task orders all aircraft.  Plans rely on hash
+    partitioning and use this only to size work."""
+    counts = states.filter("lat is not null and lon is not null").groupBy("icao24").agg(F.count("*").alias("point_count")).withColumn("part", F.substring("icao24", 1, LEADING))
     totals = counts.agg(F.count("*").alias("aircraft"), F.sum("point_count").alias("points")).withColumn("batches", F.greatest(F.lit(1), F.ceil(F.col("aircraft").cast("double") / batch_size)))
-    running = F.sum("point_count").over(Window.orderBy("icao24").rowsBetween(Window.unboundedPreceding, 0))
-    dealt = counts.withColumn("cumulative", running).crossJoin(F.broadcast(totals))  # one row
-    batch = F.least(F.floor((F.col("cumulative") - 1) / (F.col("points").cast("double") / F.col("batches"))), F.col("batches") - 1)
+    parts = counts.groupBy("part").agg(F.sum("point_count").alias("volume"))
+    before = F.sum("volume").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("volume")  # one row per leading part
+    own = F.sum("point_count").over(Window.partitionBy("part").orderBy("icao24").rowsBetween(Window.unboundedPreceding, 0))
+    dealt = counts.withColumn("own", own).join(parts.select("part", before.alias("before")), "part").crossJoin(F.broadcast(totals))  # one row
+    batch = F.least(F.floor((F.col("before") + F.col("own") - 1) / (F.col("points").cast("double") / F.col("batches"))), F.col("batches") - 1)
     return dealt.select("icao24", "point_count", batch.cast("long").alias("batch_id"))

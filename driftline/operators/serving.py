@@ -9,6 +9,7 @@ from driftline.config import EMERGENCY_CODES
 from driftline.functions.geo import replay_url
 from driftline.operators.cells import RESOLUTIONS
 
+# Columns of the answers.
 SUMMARY_COLUMNS = ("h3_cell", "h3_res", "incidents_unique", "incidents_coverage", "unique_segments", "incident_rate", "emergency_types_list", "emergency_type_diversity", "predominant_emergency_type")
 PAGE_COLUMNS = ("incident_id", "start_time", "end_time", "emergency_type", "icao24", "confidence_score", "duration_seconds", "start_lat", "start_lon")
 DEFAULT_LIMIT = 200

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import getpass
 import json
+import os
+import shlex
 import sys
 from collections.abc import Sequence
 from datetime import date
 from pathlib import Path
 
-from driftline import config, session
+from driftline import config, logs, session
 from driftline.plans import pipeline, server
+from driftline.sources.login import Tokens
 from driftline.sources.remote import JdbcStates, StateSource, TableStates
 
 
@@ -28,6 +32,10 @@ def parser() -> argparse.ArgumentParser:
         if name == "extract":
             c.add_argument("--table", required=True, help="Parquet path, or table name behind --jdbc-url")
             c.add_argument("--jdbc-url")
+            c.add_argument("--token-url", help="where access tokens come from; the password is read from $DRIFTLINE_PASSWORD or asked for")
+            c.add_argument("--client-id", default="driftline")
+            c.add_argument("--user")
+            c.add_argument("--token-cache", type=Path, default=Path(".driftline-tokens.json"))
         if name == "detect":
             c.add_argument("--filter-profile")
             c.add_argument("--list-profiles", action="store_true")
@@ -36,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--resolutions", type=int, nargs="+")
         if name == "tiles":
             c.add_argument("--min-segments", type=int, default=1)
+            c.add_argument("--build", action="store_true", help="run the tile builder")
         if name == "serve":
             c.add_argument("--host", default="127.0.0.1")
             c.add_argument("--port", type=int, default=8000)
@@ -51,6 +60,14 @@ def chosen_days(a: argparse.Namespace) -> list[date]:
     raise SystemExit("give either --date or both --from-date and --to-date")
 
 
+def tokens(a: argparse.Namespace) -> Tokens | None:
+    """Access tokens for the remote service, if a login is asked for."""
+    if not a.token_url:
+        return None
+    password = lambda: os.environ.get("DRIFTLINE_PASSWORD") or getpass.getpass(f"password of {a.user}: ")
+    return Tokens(a.token_url, a.client_id, a.user or getpass.getuser(), password, a.token_cache)
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.config and not a.config.exists():
@@ -61,10 +78,11 @@ def main(argv: Sequence[str] | None = None) -> int:
         for name, p in settings.profiles.items():
             print(f"{name}: confidence >= {p.min_confidence}, duration >= {p.min_duration_s} s")
         return 0
+    logs.configure()
     when = chosen_days(a) if a.command not in ("tiles", "serve") else []
     store = pipeline.Store(session.build(**settings.spark), settings)
     if a.command == "extract":
-        source: StateSource = JdbcStates(a.jdbc_url, a.table) if a.jdbc_url else TableStates(a.table)
+        source: StateSource = JdbcStates(a.jdbc_url, a.table, token=tokens(a)) if a.jdbc_url else TableStates(a.table)
         print(*pipeline.extract(store, source, when, a.force))
     elif a.command == "segment":
         print(*pipeline.segment(store, when, a.force))
@@ -73,10 +91,16 @@ def main(argv: Sequence[str] | None = None) -> int:
         if a.stats:
             print(json.dumps(pipeline.summary(store, when).first().asDict()))
     elif a.command == "aggregate":
-        pipeline.aggregate(store, when, a.resolutions, a.force)
+        if failed := pipeline.aggregate(store, when, a.resolutions, a.force):
+            print("incident metrics failed at", *failed, file=sys.stderr)
+            return 1
     elif a.command == "tiles":
-        for command in pipeline.tiles(store, a.resolutions, a.min_segments):
-            print(" ".join(command))
+        try:
+            for command in pipeline.tiles(store, a.resolutions, a.min_segments, a.build):
+                print(shlex.join(command))
+        except RuntimeError as e:
+            print(e, file=sys.stderr)
+            return 1
     else:
         server.serve(store, a.host, a.port)
     return 0

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.config import Gates, Profile, SegmentRules
+from driftline.config import EMERGENCY_CODES, Gates, Profile, SegmentRules
 from driftline.operators import cells, export, incidents, segments, serving
 from driftline.sources import tables
 
@@ -23,12 +23,12 @@ RULES = SegmentRules(gap_s=86400, min_duration_s=43200, min_distance_km=60000, b
 GATES = Gates(window_s=432000, persistence_s=288000, tiers_s=(360000, 504000, 720000), debounce_s=259200, cap_s=600000)
 TIE = ("event_id",)
 RESOLUTION = 3
-_each = lambda n: dict.fromkeys(("7500", "7600", "7700"), n)
+_by_code = lambda *n: dict(zip(EMERGENCY_CODES, n, strict=True))
 SCALED = {
     "none": Profile("none", 50, 288000),
-    "research": Profile("research", 50, 300000, _each(40), _each(5)),
-    "production": Profile("production", 60, 360000, _each(12), _each(6)),
-    "high_security": Profile("high_security", 62, 360000, _each(9), _each(7)),
+    "research": Profile("research", 50, 300000, _by_code(40, 7, 6), _by_code(5, 6, 5)),
+    "production": Profile("production", 60, 360000, _by_code(6, 12, 8), _by_code(6, 5, 7)),
+    "high_security": Profile("high_security", 62, 360000, _by_code(9, 9, 7), _by_code(7, 6, 7)),
 }
 
 
@@ -99,19 +99,22 @@ FROM metrics WHERE duration_seconds >= 43200 OR distance_km >= 60000),
 kp AS (SELECT p.*, s.point_count FROM points p JOIN segs s USING ({scope}icao24, segment_id))"""
 
 
-_SAMPLES = """, numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY icao24, segment_id, squawk ORDER BY time, event_id) AS rn FROM kp WHERE squawk IN ('7500', '7600', '7700')),
-samples AS (SELECT icao24, segment_id, squawk AS emergency_type, COUNT(*) AS sample_count, MIN(time) AS incident_start, MAX(CASE WHEN rn = 5 THEN time END) AS fifth, MAX(time) AS incident_end,
+_SAMPLES = f""", numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY icao24, segment_id, squawk ORDER BY time, event_id) AS rn FROM kp WHERE squawk IN ('7500', '7600', '7700')),
+samples AS (SELECT icao24, segment_id, squawk AS emergency_type, COUNT(*) AS sample_count, MIN(time) AS incident_start, MAX(CASE WHEN rn = {GATES.min_samples} THEN time END) AS fifth, MAX(time) AS incident_end,
 COUNT(*) FILTER (WHERE onground) AS ground_count FROM numbered GROUP BY ALL),
 temporal AS (SELECT *, incident_end - incident_start AS persistence_seconds FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY icao24, segment_id ORDER BY emergency_type) AS pick FROM samples
-WHERE sample_count >= 5 AND fifth - incident_start <= 432000) WHERE pick = 1),
-persistent AS (SELECT * FROM temporal WHERE persistence_seconds > 288000),
-airborne AS (SELECT *, ROUND(CAST(ground_count AS DOUBLE) / sample_count * 100, 2) AS ground_percentage FROM persistent WHERE CAST(ground_count AS DOUBLE) / sample_count < 0.3),
+WHERE sample_count >= {GATES.min_samples} AND fifth - incident_start <= {GATES.window_s}) WHERE pick = 1),
+persistent AS (SELECT * FROM temporal WHERE persistence_seconds > {GATES.persistence_s}),
+airborne AS (SELECT *, ROUND(CAST(ground_count AS DOUBLE) / sample_count * 100, 2) AS ground_percentage FROM persistent WHERE CAST(ground_count AS DOUBLE) / sample_count < {GATES.ground_ratio}),
 placed AS (SELECT a.*, (SELECT arg_min(k.lat, k.event_id) FROM kp k WHERE k.icao24 = a.icao24 AND k.segment_id = a.segment_id AND k.time = a.incident_start) AS start_lat,
 (SELECT arg_min(k.lon, k.event_id) FROM kp k WHERE k.icao24 = a.icao24 AND k.segment_id = a.segment_id AND k.time = a.incident_start) AS start_lon FROM airborne a)"""
 
-_SCORE = """CAST(LEAST(sample_count * 2, 40) + CASE WHEN persistence_seconds > 720000 THEN 30 WHEN persistence_seconds > 504000 THEN 20 WHEN persistence_seconds > 360000 THEN 10 ELSE 5 END
-+ CASE WHEN ground_percentage < 10 THEN 20 ELSE 10 END + 10 AS INTEGER) AS confidence_score,
-CASE WHEN sample_count >= 10 AND persistence_seconds > 504000 AND ground_percentage < 10 THEN 'HIGH' WHEN sample_count >= 5 AND persistence_seconds > 360000 AND ground_percentage < 20 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level"""
+_LOW, _MIDDLE, _HIGH = GATES.tiers_s
+#: {DIAL}: what codes dialled through add.
+_SCORE_OF = f"""CAST(LEAST(sample_count * 2, 40) + CASE WHEN persistence_seconds > {_HIGH} THEN 30 WHEN persistence_seconds > {_MIDDLE} THEN 20 WHEN persistence_seconds > {_LOW} THEN 10 ELSE 5 END
++ CASE WHEN ground_percentage < 10 THEN 20 ELSE 10 END + {{DIAL}} AS INTEGER) AS confidence_score,
+CASE WHEN sample_count >= 10 AND persistence_seconds > {_MIDDLE} AND ground_percentage < 10 THEN 'HIGH' WHEN sample_count >= 5 AND persistence_seconds > {_LOW} AND ground_percentage < 20 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level"""
+_SCORE = _SCORE_OF.format(DIAL=10)
 
 _SCORED = f"{_SAMPLES}, scored AS (SELECT *, {_SCORE} FROM placed)"
 
@@ -123,8 +126,8 @@ arg_min(confidence_level, (start_time, incident_id)) AS confidence_level, arg_mi
 
 
 def _profile_sql(p: Profile) -> str:
-    (low, high) = p.bounds("7500")
-    return f"confidence_score >= {p.min_confidence} AND persistence_seconds >= {p.min_duration_s} AND sample_count BETWEEN {low} AND {high}"
+    fits = " OR ".join(f"emergency_type = '{c}' AND sample_count BETWEEN {p.bounds(c)[0]} AND {p.bounds(c)[1]}" for c in EMERGENCY_CODES)
+    return f"confidence_score >= {p.min_confidence} AND persistence_seconds >= {p.min_duration_s} AND ({fits})"
 
 
 def _incidents(profile: str = "none") -> str:
@@ -239,6 +242,18 @@ def d7_dial_codes(spark, sf_dir):
     return incidents.dial_codes(coded).select("icao24", "segment_id", F.array_join("roller_dial_codes", ",").alias("codes"))
 
 
+#: Every third ordinary report carries a code that is dialled through.
+_DIALLED = _points().replace("WHEN 'view' THEN '1200'", "WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN '7712' ELSE '1200' END")
+
+
+@query(f"""WITH {_DIALLED}{_SAMPLES}, dialled AS (SELECT DISTINCT icao24, segment_id, true AS dial FROM kp WHERE squawk = '7712')
+SELECT segment_id, emergency_type, COALESCE(dial, false) AS dialled, {_SCORE_OF.format(DIAL="CASE WHEN dial THEN -10 ELSE 10 END")} FROM placed LEFT JOIN dialled USING (icao24, segment_id)""")
+def d7_confidence_dialled(spark, sf_dir):
+    pts = kept(spark, sf_dir).withColumn("squawk", F.when((F.col("squawk") == "1200") & (F.col("event_id") % 3 == 0), "7712").otherwise(F.col("squawk")))
+    found = incidents.scored(pts, GATES, (), TIE)
+    return found.select("segment_id", "emergency_type", F.col("roller_dial_codes").isNotNull().alias("dialled"), "confidence_score", "confidence_level")
+
+
 def _profile_query(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = incidents.apply_profile(incidents.scored(kept(spark, sf_dir), GATES, (), TIE), SCALED[name])

@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.config import Config
 from driftline.operators import cells, incidents
-from driftline.plans import domain
+from driftline.plans import domain, pipeline
 from driftline.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,8 +22,13 @@ SQL: dict[str, str] = {}
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the checkpoint folder, or a local one in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftline-")
+    """A new folder in the one that driver and executors share, which the session names; only a
+    local session may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="driftline-")
     return f"{named}/plan-{uuid.uuid4().hex}"
 
 
@@ -114,15 +122,44 @@ _LEVEL = "SELECT CAST({r}000000000000 + floor((lat + 90.0) / {d}) * 1000000 + fl
 SQL["d11_coverage_levels"] = f"WITH {domain._points()} " + " UNION ALL ".join(_LEVEL.format(r=r, d=d) for r, d in ((3, "8.0"), (4, "4.0"), (5, "2.0"), (6, "1.0")))
 
 
-def d25_hours_to_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day put together from its hours, as the extraction does."""
-    start = 1704153600
-    states = domain.states(spark, sf_dir)
-    hours = [states.filter((F.col("time") >= start + 3600 * h) & (F.col("time") < start + 3600 * (h + 1))) for h in range(24)]
-    return tables.union_by_name(hours).groupBy("icao24").agg(F.count("*").alias("reports"))
+@dataclass
+class _Surrogate:
+    """The surrogate reports as a source of hours."""
+
+    sf_dir: str
 
+    def hour(self, spark: SparkSession, when: date, hour: int) -> DataFrame:
+        start = 86400 * (when - date(1970, 1, 1)).days + 3600 * hour
+        return domain.states(spark, self.sf_dir).filter((F.col("time") >= start) & (F.col("time") < start + 3600))
 
+
+def d25_hours_to_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day extracted hour by hour, read back from its hour files."""
+    store = pipeline.Store(spark, Config(data_dir=_scratch(spark)))
+    day = date(2024, 1, 2)
+    pipeline.extract(store, _Surrogate(sf_dir), [day])
+    return store.read("states", day).groupBy("icao24").agg(F.count("*").alias("reports"))
+
+
+def d26_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days aggregated one by one; the merged tables hold all of them."""
+    store = pipeline.Store(spark, Config(data_dir=_scratch(spark)))
+    found, pts = domain.by_period(spark, sf_dir)
+    for period in range(4):
+        day = date(2024, 1, 1 + period)
+        for name, rows in (("points", pts), ("incidents", found)):
+            sinks.write(rows.filter(F.col("period") == period).drop("period"), store.path(name, day))
+        if pipeline.aggregate(store, [day], [domain.RESOLUTION]):
+            raise RuntimeError("incident metrics failed")
+    incident = store.read("cell_incidents", None, domain.RESOLUTION).select("h3_cell", "incidents_unique", "incidents_coverage")
+    return store.read("coverage", None, domain.RESOLUTION).join(incident, "h3_cell").drop("h3_res")
+
+
+SQL["d26_merged_days"] = f"""WITH {domain._PERIODS}, i AS (SELECT h3_cell, CAST(SUM(incidents_unique) AS BIGINT) AS incidents_unique, CAST(SUM(incidents_coverage) AS BIGINT) AS incidents_coverage FROM dual GROUP BY h3_cell),
+d AS (SELECT period, h3_cell, COUNT(DISTINCT segment_id) AS a, COUNT(DISTINCT icao24) AS b, COUNT(*) AS c FROM cp WHERE point_count >= 2 GROUP BY 1, 2)
+SELECT h3_cell, CAST(SUM(a) AS BIGINT) AS unique_segments, CAST(SUM(b) AS BIGINT) AS unique_aircraft, CAST(SUM(c) AS BIGINT) AS total_points, ANY_VALUE(incidents_unique) AS incidents_unique, ANY_VALUE(incidents_coverage) AS incidents_coverage
+FROM d JOIN i USING (h3_cell) GROUP BY h3_cell"""
 SQL["d25_hours_to_day"] = f"WITH {domain._SV} SELECT icao24, COUNT(*) AS reports FROM sv WHERE time >= 1704153600 AND time < 1704240000 GROUP BY icao24"
 
-for _f in (s4_explicit_list, s7_hour_extraction, s8_arrow_scan, s9_values, d11_coverage_levels, d25_hours_to_day, k1_partitioned_roundtrip, k2_lines_roundtrip, k4_empty_result, s10_named_views, d10_stamped):
+for _f in (s4_explicit_list, s7_hour_extraction, s8_arrow_scan, s9_values, d11_coverage_levels, d25_hours_to_day, d26_merged_days, k1_partitioned_roundtrip, k2_lines_roundtrip, k4_empty_result, s10_named_views, d10_stamped):
     QUERIES[_f.__name__] = _f

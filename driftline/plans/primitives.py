@@ -82,11 +82,11 @@ def p14_case_coalesce_nullif(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", size.alias("size_class"), ratio.alias("ratio"), F.coalesce(ratio, F.lit(-1.0)).alias("ratio_or"))
 
 
-@query("""SELECT * FROM (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'
-UNION ALL BY NAME SELECT o_totalprice, o_orderkey FROM orders WHERE o_orderstatus = 'O')""")
+@query("SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name FROM (SELECT * FROM nation UNION ALL BY NAME SELECT * FROM region)")
 def s3_multi_file_union_by_name(spark, sf_dir):
-    o = t(spark, sf_dir, "orders")
-    return tables.union_by_name([o.filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", "o_totalprice"), o.filter("o_orderstatus = 'O'").select("o_totalprice", "o_orderkey")])
+    # a glob over files of different columns
+    both = tables.parquet(spark, f"{sf_dir}/{{nation,region}}.parquet", merge=True)
+    return both.select("n_nationkey", "n_name", "n_regionkey", "r_regionkey", "r_name")
 
 
 @query("SELECT COUNT(DISTINCT user_id) AS distinct_user_id FROM events")
@@ -227,10 +227,11 @@ def j3_cross_one_row(spark, sf_dir):
 @query("""WITH a AS (SELECT l_partkey AS k, COUNT(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_partkey AS k, COUNT(*) AS m FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
 SELECT COALESCE(a.k, b.k) AS k, COALESCE(n, 0) AS n, COALESCE(m, 0) AS m FROM a FULL OUTER JOIN b ON a.k = b.k""")
 def j5_full_outer(spark, sf_dir):
-    # both sides aggregate one table by one key: a single group replaces the join
-    flag, big = F.col("l_returnflag") == "R", F.col("l_quantity") > 45
-    both = t(spark, sf_dir, "lineitem").filter(flag | big).groupBy(F.col("l_partkey").alias("k"))
-    return both.agg(F.count_if(flag).alias("n"), F.count_if(big).alias("m"))
+    # both sides are reduced by the join's key first, so the join reuses their partitioning
+    line = t(spark, sf_dir, "lineitem")
+    count = lambda rows, key, name: rows.groupBy(F.col("l_partkey").alias(key)).agg(F.count("*").alias(name))
+    a, b = count(line.filter("l_returnflag = 'R'"), "ka", "n"), count(line.filter("l_quantity > 45"), "kb", "m")
+    return a.join(b, F.col("ka") == F.col("kb"), "full_outer").select(F.coalesce("ka", "kb").alias("k"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")

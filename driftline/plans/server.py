@@ -43,6 +43,13 @@ class Api:
             return self._json(422, {"detail": str(e)})
         return self._json(404, {"detail": "not found"})
 
+    def attachment(self, url: str) -> str | None:
+        """The file name under which the answer to a CSV request is to be saved."""
+        parts = urlparse(url)
+        q = parse_qs(parts.query)
+        cell = serving.cell_number(q.get("cell", [""])[0])
+        return f"incidents_h3_{cell}_r{_int(q, 'resolution', 0)}.csv" if parts.path.endswith(".csv") and cell is not None else None
+
     def health(self) -> tuple[int, str, str]:
         there = [r for r in self.store.config.resolutions if tables.modified(self.store.spark, self.store.path("cell_incidents", None, r)) is not None]
         return self._json(200 if there else 503, {"status": "ok" if there else "no data", "resolutions": there})
@@ -75,6 +82,8 @@ def serve(store: Store, host: str, port: int) -> None:
             status, kind, body = api.get(self.path)
             self.send_response(status)
             self.send_header("Content-Type", kind)
+            if status == 200 and (name := api.attachment(self.path)):
+                self.send_header("Content-Disposition", f"attachment; filename={name}")
             self.end_headers()
             self.wfile.write(body.encode())
 

@@ -18,9 +18,9 @@ HOURS = 24
 
 
 class StateSource(Protocol):
-    """Whatever yields the reports of one UTC day."""
+    """Whatever yields the reports of one hour of a UTC day."""
 
-    def day(self, spark: SparkSession, when: date) -> DataFrame: ...
+    def hour(self, spark: SparkSession, when: date, hour: int) -> DataFrame: ...
 
 
 def check_date(when: date, today: date | None = None) -> date:
@@ -38,16 +38,24 @@ def hour_predicates(when: date, column: str = "hour") -> list[str]:
 
 @dataclass
 class JdbcStates:
-    """Reports through JDBC; ``properties`` hold driver, user and token."""
+    """Reports through JDBC; ``properties`` hold driver, user and the like.  ``token`` gives the
+    access token of each connection anew, as one can expire during a long extraction."""
 
     url: str
     table: str
     properties: dict[str, str] = field(default_factory=dict)
     hour_column: str = "hour"
+    token: Callable[[], str] | None = None
+
+    def _read(self, spark: SparkSession, predicates: list[str]) -> DataFrame:
+        login = {"accessToken": self.token()} if self.token else {}
+        return shape(spark.read.jdbc(self.url, self.table, predicates=predicates, properties=self.properties | login))
+
+    def hour(self, spark: SparkSession, when: date, hour: int) -> DataFrame:
+        return self._read(spark, [hour_predicates(check_date(when), self.hour_column)[hour]])
 
     def day(self, spark: SparkSession, when: date) -> DataFrame:
-        raw = spark.read.jdbc(self.url, self.table, predicates=hour_predicates(check_date(when), self.hour_column), properties=self.properties)
-        return shape(raw)
+        return self._read(spark, hour_predicates(check_date(when), self.hour_column))
 
 
 @dataclass
@@ -56,9 +64,15 @@ class TableStates:
 
     path: str
 
+    def _span(self, spark: SparkSession, when: date, first: int, hours: int) -> DataFrame:
+        start = int(datetime(check_date(when).year, when.month, when.day, tzinfo=UTC).timestamp()) + 3600 * first
+        return shape(spark.read.parquet(self.path).filter((F.col("time") >= start) & (F.col("time") < start + 3600 * hours)))
+
+    def hour(self, spark: SparkSession, when: date, hour: int) -> DataFrame:
+        return self._span(spark, when, hour, 1)
+
     def day(self, spark: SparkSession, when: date) -> DataFrame:
-        start = int(datetime(check_date(when).year, when.month, when.day, tzinfo=UTC).timestamp())
-        return shape(spark.read.parquet(self.path).filter((F.col("time") >= start) & (F.col("time") < start + 86400)))
+        return self._span(spark, when, 0, HOURS)
 
 
 def shape(raw: DataFrame) -> DataFrame:

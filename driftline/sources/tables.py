@@ -14,12 +14,19 @@ from pyspark.sql.types import StructType
 DATED = re.compile(r"_(\d{4}-\d{2}-\d{2})(?:\.parquet)?/?$")
 
 
-def parquet(spark: SparkSession, *paths: str, schema: StructType | None = None) -> DataFrame:
-    """One file, a list of files or a glob."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
+def parquet(spark: SparkSession, *paths: str, schema: StructType | None = None, merge: bool = False) -> DataFrame:
+    """One file, a list of files or a glob; with ``merge`` the columns of all files, null where a
+    file lacks one."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", str(merge).lower())
     return reader.parquet(*paths)
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of Hadoop for a path of any scheme; without one the cluster's default holds."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def union_by_name(frames: Iterable[DataFrame]) -> DataFrame:
     """All rows; columns that a frame lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -41,8 +48,7 @@ def dated(paths: Iterable[str]) -> dict[str, str]:
 
 def list_paths(spark: SparkSession, folder: str) -> list[str]:
     """Children of a folder on any file system that Spark reads; none if it is missing."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, path = file_system(spark, folder)
     if not fs.exists(path):
         return []
     return sorted(str(s.getPath().toString()) for s in fs.listStatus(path))
@@ -50,8 +56,7 @@ def list_paths(spark: SparkSession, folder: str) -> list[str]:
 
 def modified(spark: SparkSession, path: str) -> int | None:
     """Latest modification time (ms) of the files of a table, by their status; none without files."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, p = file_system(spark, path)
     if not fs.exists(p):
         return None
     status = fs.getFileStatus(p)

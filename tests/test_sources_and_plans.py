@@ -118,21 +118,32 @@ def test_days_cli_and_missing_config(capsys):
     assert cli.main(["detect", "--list-profiles"]) == 0 and "production" in capsys.readouterr().out
 
 
-@pytest.fixture
-def store(spark, tmp_path):
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
     """Two days of one flight with an emergency and one calm flight, run through every stage."""
+    base = tmp_path_factory.mktemp("stored")
     rows = []
     for day in (date(2025, 7, 2), date(2025, 7, 3)):
         t0 = int(remote.datetime(day.year, day.month, day.day, 1, tzinfo=remote.UTC).timestamp())
         rows += [(t0 + 5 * i, "abc", None, 40 + i * 0.01, -100.0, "7700" if 20 <= i < 60 else "1200", False, False) for i in range(200)]
         rows += [(t0 + 5 * i, "calm", None, 41 + i * 0.01, -100.0, "1200", False, False) for i in range(200)]
-    spark.createDataFrame(rows, "time long, icao24 string, callsign string, lat double, lon double, squawk string, onground boolean, alert boolean").write.parquet(f"{tmp_path}/raw")
-    s = pipeline.Store(spark, config.Config(data_dir=f"{tmp_path}/data", resolutions=(3,)))
+    spark.createDataFrame(rows, "time long, icao24 string, callsign string, lat double, lon double, squawk string, onground boolean, alert boolean").write.parquet(f"{base}/raw")
+    s = pipeline.Store(spark, config.Config(data_dir=f"{base}/data", resolutions=(3,)))
     when = pipeline.days(date(2025, 7, 2), date(2025, 7, 3))
-    assert pipeline.extract(s, remote.TableStates(f"{tmp_path}/raw"), when) == when
+    assert pipeline.extract(s, remote.TableStates(f"{base}/raw"), when) == when
     assert pipeline.segment(s, when) == when and pipeline.detect(s, when) == when
     pipeline.aggregate(s, when)
-    return s, when
+    return base, when
+
+
+@pytest.fixture
+def store(spark, stored, tmp_path):
+    """A copy of the stored days that a test may change."""
+    import shutil
+
+    base, when = stored
+    shutil.copytree(f"{base}/data", f"{tmp_path}/data")
+    return pipeline.Store(spark, config.Config(data_dir=f"{tmp_path}/data", resolutions=(3,))), when
 
 
 def test_stages_skip_fresh_output_and_serve(store):
@@ -160,6 +171,164 @@ def test_stages_skip_fresh_output_and_serve(store):
     assert api.get("/api/h3/incidents?resolution=3&cell=1&limit=5000")[0] in (200, 422)
 
 
+def totals(s):
+    c, i = s.read("coverage", None, 3).collect(), s.read("cell_incidents", None, 3).collect()
+    return sum(r.total_points for r in c), sum(r.incidents_unique for r in i), s.read("mapping", None, 3).count()
+
+
+def test_merged_tables_hold_every_stored_day(store):
+    s, when = store
+    both = totals(s)
+    assert pipeline.aggregate(s, when[1:]) == [] and totals(s) == both
+    assert pipeline.aggregate(s, when[1:], force=True) == [] and totals(s) == both
+
+
+def test_missing_second_outputs_are_made_again(store):
+    import shutil
+
+    s, when = store
+    both = totals(s)
+    shutil.rmtree(s.path("segments", when[0]))
+    shutil.rmtree(s.path("mapping_daily", when[0], 3))
+    assert pipeline.segment(s, when) == when[:1] and s.read("segments", when[0]).count() == 2
+    assert pipeline.aggregate(s, when) == [] and totals(s) == both
+    assert pipeline.detect(s, when, "high_security") == when and pipeline.detect(s, when, "high_security") == []
+
+
+def test_failing_incident_metrics_fail_the_command(store, monkeypatch, capsys):
+    s, when = store
+    monkeypatch.setattr(pipeline.cells, "merge_mapping", lambda *a: 1 / 0)
+    monkeypatch.setattr(cli.session, "build", lambda **k: s.spark)
+    monkeypatch.setattr(cli.config, "load", lambda p: s.config)
+    monkeypatch.setattr(cli.logs, "configure", lambda: None)
+    f = s.config.data_dir + ".toml"
+    open(f, "w").close()
+    assert cli.main(["--config", f, "aggregate", "--date", "2025-07-02"]) == 1
+    assert "failed at 3" in capsys.readouterr().err
+
+
+def test_extraction_goes_on_with_missing_hours(spark, tmp_path):
+    day, asked = date(2025, 7, 2), []
+
+    class Source:
+        def __init__(self, broken):
+            self.broken = broken
+
+        def hour(self, spark, when, hour):
+            if hour in self.broken:
+                raise RuntimeError("gone")
+            asked.append(hour)
+            return spark.createDataFrame([(hour,)], "time long")
+
+    s = pipeline.Store(spark, config.Config(data_dir=f"{tmp_path}/d"))
+    with pytest.raises(RuntimeError, match="gone"):
+        pipeline.extract(s, Source({5}), [day])
+    first = len(asked)
+    assert pipeline.extract(s, Source(()), [day]) == [day] and sorted(asked) == list(range(24)) and 0 < first < 24
+    assert sorted(r.time for r in s.read("states", day).collect()) == list(range(24))
+    assert pipeline.extract(s, Source(()), [day]) == []
+
+
+def test_a_failing_write_leaves_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    sinks.write(spark.range(3), path)
+    bad = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write(bad, path)
+    assert spark.read.parquet(path).count() == 3
+    sinks.write(spark.read.parquet(path).filter("id > 0"), path, made_with={"a": 1})  # a table may be read while it is replaced
+    assert spark.read.parquet(path).count() == 2 and sinks.note(spark, path) == {"a": 1}
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_tiles_are_built_from_the_files_that_are_named(store, tmp_path, monkeypatch):
+    import gzip
+    import os
+
+    s, _ = store
+    command = pipeline.tiles(s)[0]
+    files = [x for x in command if x.endswith(".geojsonl.gz")]
+    assert files and sum(len(gzip.open(f).read().splitlines()) for f in files) == s.read("coverage", None, 3).count()
+    tool = tmp_path / "bin" / "tippecanoe"
+    tool.parent.mkdir()
+    monkeypatch.setenv("PATH", f"{tool.parent}:{os.environ['PATH']}")
+    with pytest.raises(RuntimeError, match="not installed"):
+        pipeline.tiles(s, build=True)
+    for script, fails in (("exit 3", "ended with 3"), ("exit 0", "left no"), ('echo > "$2"', None)):
+        tool.write_text(f"#!/bin/sh\n{script}\n")
+        tool.chmod(0o755)
+        if fails:
+            with pytest.raises(RuntimeError, match=fails):
+                pipeline.tiles(s, build=True)
+        else:
+            assert os.path.exists(pipeline.tiles(s, build=True)[0][2])
+
+
+def test_cells_and_outlines_belong_together(store):
+    from driftline.functions import geo
+
+    s, _ = store
+    half = lambda c, r: F.array(F.array(F.lit(float(r)), F.lit(0.5)))
+    s.cells = geo.CellSystem(geo.grid_cell, half)
+    pipeline.tiles(s)
+    line = json.loads(s.spark.read.text(s.path("tiles", None, 3)).first().value)
+    assert line["geometry"]["coordinates"] == [[[3.0, 0.5]]]
+
+
+def test_tokens_are_cached_refreshed_and_asked_for(tmp_path):
+    from driftline.sources.login import Tokens
+
+    now, sent, answers = [1000.0], [], []
+
+    def post(url, fields):
+        sent.append(fields["grant_type"])
+        return answers.pop(0)
+
+    t = Tokens("http://x", "c", "me", lambda: "pw", tmp_path / "t.json", post, lambda: now[0])
+    answers[:] = [{"access_token": "a", "refresh_token": "r", "expires_in": 900}]
+    assert t() == "a" and t() == "a" and sent == ["password"]
+    assert (tmp_path / "t.json").stat().st_mode & 0o077 == 0
+    now[0] += 700  # within the margin
+    answers[:] = [{"access_token": "b", "refresh_token": "r", "expires_in": 900}]
+    assert t() == "b" and sent[-1] == "refresh_token"
+    now[0] += 5000
+    answers[:] = [None, {"access_token": "c", "expires_in": 900}]
+    assert t() == "c" and sent[-2:] == ["refresh_token", "password"]
+    (tmp_path / "t.json").write_text("{broken")
+    answers[:] = [None]
+    with pytest.raises(RuntimeError, match="no token"):
+        t()
+
+
+def test_log_records_are_json_lines(capsys):
+    import logging
+
+    from driftline import logs
+
+    log = logs.configure("driftline-test")
+    with logs.timed(log, "step"):
+        pass
+    with pytest.raises(ValueError), logs.timed(log, "bad"):
+        raise ValueError("why")
+    rows = [json.loads(x) for x in capsys.readouterr().err.splitlines()]
+    assert [(r["level"], r.get("operation"), r.get("error")) for r in rows] == [("INFO", "step", None), ("INFO", "step", None), ("INFO", "bad", None), ("ERROR", "bad", "why")]
+    assert all(r["duration_ms"] >= 0 for r in rows[1::2])
+    assert len(logging.getLogger("driftline-test").handlers) == 1
+
+
+def test_csv_answers_are_attachments():
+    api = server.Api(None)
+    assert api.attachment("/api/h3/incidents.csv?cell=12&resolution=4") == "incidents_h3_12_r4.csv"
+    assert api.attachment("/api/h3/incidents?cell=12&resolution=4") is None and api.attachment("/x.csv?cell=a") is None
+
+
+def test_gated_queries_tell_codes_and_dials_apart(spark):
+    rows = domain.QUERIES["d7_confidence_dialled"](spark, DATA).collect()
+    assert {r.dialled for r in rows} == {True, False}
+    kinds = [{r.emergency_type for r in domain.QUERIES[f"d8_profile_{n}"](spark, "/root/testdata/sf0.01").collect()} for n in ("none", "research", "production")]
+    assert all(kinds) and len(kinds[0]) > 1
+
+
 def test_stream_closes_segments_like_the_batch(spark, tmp_path):
     from driftline.streaming.sessions import closed_segments
 
