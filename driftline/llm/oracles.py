@@ -30,6 +30,23 @@ t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lam
 SELECT page_id, url, regexp_replace(raw, '&amp;?', '&', 'g') AS text, CAST(length(regexp_replace(raw, '&amp;?', '&', 'g')) AS BIGINT) AS n_chars FROM t
 """
 
+#: Words are runs of letters, digits and characters beyond ASCII.  Items of fewer than five words
+#: are one shingle, which is met by documents with that run of words.
+OP4 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[0-9a-z\x{{80}}-\x{{10ffff}}]+') AS w FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all({_FOLD}, '[0-9a-z\x{{80}}-\x{{10ffff}}]+') AS w FROM benchmark),
+i AS (SELECT item_id, item, len(w) AS n, least(len(w), 5) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda p: array_to_string(w[p : p + least(len(w), 5) - 1], ' '))) AS s FROM b WHERE len(w) > 0),
+own AS (SELECT item_id, item, n, k, s, count(*) AS c FROM i GROUP BY ALL),
+kinds AS (SELECT DISTINCT k FROM own),
+x AS (SELECT doc_id, k, len(w) AS m, unnest(range(0, len(w) - k + 1)) AS p, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p : p + k - 1], ' '))) AS s FROM d, kinds WHERE len(w) >= k),
+h AS (SELECT doc_id, m, p, item, item_id, n, o.k, s, c, least(n, m) - o.k + 1 AS size FROM x JOIN own o USING (k, s)),
+a AS (SELECT doc_id, m, item, item_id, n, k, size, s, c, unnest(range(greatest(p - size + 1, 0), least(p, greatest(m - n, 0)) + 1)) AS start FROM h),
+t AS (SELECT doc_id, item, item_id, n, m, k, size, start, s, least(count(*), any_value(c)) AS held FROM a GROUP BY ALL),
+v AS (SELECT doc_id, item, item_id, least(n, m) AS n_words, start, CAST(sum(held) AS DOUBLE) / (n - k + 1 + size - sum(held)) AS similarity FROM t GROUP BY doc_id, item, item_id, n, m, k, size, start),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item ORDER BY similarity DESC, start) AS pick FROM v WHERE similarity >= 0.8)
+SELECT doc_id, item_id, similarity, CAST(start AS INTEGER) AS first_word, CAST(n_words AS INTEGER) AS n_words FROM best WHERE pick = 1
+"""
+
 OP5 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_FOLD}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
@@ -55,4 +72,4 @@ m AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id), n AS (SELECT a,
 SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN m ON v.vec_id = m.id LEFT JOIN n ON v.vec_id = n.a
 """
 
-ORACLES = {"op1_suffix_array_dedup": OP1, "op3_html_extraction": OP3, "op5_ngram_jaccard": OP5, "op6_warc": OP6, "op7_embedding_dedup": OP7}
+ORACLES = {"op1_suffix_array_dedup": OP1, "op3_html_extraction": OP3, "op4_decontamination": OP4, "op5_ngram_jaccard": OP5, "op6_warc": OP6, "op7_embedding_dedup": OP7}

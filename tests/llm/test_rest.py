@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 
 from driftline.llm import bpe, decontam, embed_dedup, sharding
+from driftline.llm import kernels as K
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -205,23 +206,80 @@ def test_decontamination_against_brute_force(spark, prose):
 def test_several_index_passes(spark, prose, monkeypatch):
     items = [(i, prose(20, i)) for i in range(20)]
     docs = [(i, t) for i, t in items]
-    monkeypatch.setattr(decontam, "INDEX_BYTES", 400)
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 1500)
     assert [x[:2] for x in find(spark, docs, items)] == [(i, i) for i in range(20)]
     assert find(spark, [], items) == [] and find(spark, docs, []) == []
 
 
-def test_multi_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("n", [60, 200, 3000])
+def test_multi_index_finds_all_within_the_radius(n):
     r = random.Random(9)
-    index = decontam.Index([], 0.8)
-    index.prints = [r.getrandbits(64) for _ in range(200)]
-    index.blocks = {7: [defaultdict(list) for _ in range(decontam.RADIUS + 1)]}
-    for i, p in enumerate(index.prints):
-        for b, t in enumerate(index.blocks[7]):
-            t[decontam._block(p, b)].append(i)
-    for p in index.prints[:60]:
+    prints = [r.getrandbits(64) for _ in range(n)]
+    index = decontam.MultiIndex(np.array(prints, np.uint64), np.array([7] * n))
+    for p in prints[:60]:
         q = p
         for bit in r.sample(range(64), r.randint(0, 20)):
             q ^= 1 << bit
-        assert index.candidates(7, q) == [i for i, x in enumerate(index.prints) if (x ^ q).bit_count() <= decontam.RADIUS]
+        window, item = index.near(7, np.array([0, q], np.uint64))
+        assert item[window == 1].tolist() == [i for i, x in enumerate(prints) if (x ^ q).bit_count() <= decontam.RADIUS]
+        assert not len(index.near(8, np.array([q], np.uint64))[0])
 
 
+def test_blocks_cut_the_candidates():
+    """A random fingerprint meets about a fifth of the items in a block."""
+    r = np.random.default_rng(3)
+    prints = r.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, 4000, dtype=np.uint64)
+    met = np.zeros(3999, bool)
+    for first, bits, bound in decontam.BLOCKS:
+        own, other = (decontam.MultiIndex._block(x, first, bits) for x in (prints[1:], prints[:1]))
+        met |= decontam.distance(own, np.repeat(other, 3999)) <= bound
+    assert 0.1 < met.mean() < 0.25
+
+
+def test_recall_at_the_least_similarity():
+    """Windows of similarity 0.8 or little more lie within the radius in nearly all cases."""
+    r = np.random.default_rng(4)
+    seen = near = 0
+    for n in (9, 18, 45, 90):
+        for _ in range(400):
+            own = r.integers(0, 1 << 62, n, dtype=np.uint64)
+            other = own.copy()
+            changed = int(n * 0.2 / 1.8)  # 1 - s over 1 + s
+            other[:changed] = r.integers(0, 1 << 62, changed, dtype=np.uint64)
+            seen += 1
+            near += (decontam.simhash(K.mix(own)) ^ decontam.simhash(K.mix(other))).bit_count() <= decontam.RADIUS
+    assert near >= 0.99 * seen
+
+
+def test_edited_items_near_the_threshold(spark, prose):
+    """Items with words changed at one end, so that similarities lie around 0.8."""
+    r = random.Random(8)
+    items = [(i, prose(r.randint(20, 60), 900 + i)) for i in range(30)]
+    docs = []
+    for i, t in items:
+        w = t.split(" ")
+        k = r.randint(1, max(2, len(w) // 6))
+        docs.append((i, " ".join([prose(15, i), *w[:-k], prose(k + 10, 70 + i)])))
+    got, exp = find(spark, docs, items), windows(docs, items)
+    assert 8 < len(exp) < 30
+    missed = {x[:2] for x in exp} - {x[:2] for x in got}
+    assert {x[:2] for x in got} <= {x[:2] for x in exp} and len(missed) <= len(exp) // 10
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "bigint"])
+def test_odd_benchmarks(spark, prose, kind):
+    text = prose(20, 3)
+    cast = (lambda x: None if x is None else str(x)) if kind == "string" else (lambda x: x)
+    b = spark.createDataFrame([(cast(1), text, "x"), (cast(1), text, "x"), (cast(None), text, "y"), (cast(2), None, None)], f"item_id {kind}, text string, id string")
+    d = spark.createDataFrame([(cast(5), "a " + text, 1), (cast(5), "a " + text, 1), (cast(None), text, 2), (cast(6), "", 3)], f"doc_id {kind}, text string, similarity int")
+    got = decontam.find(d, b)
+    assert dict(got.dtypes)["item_id"] == kind and dict(got.dtypes)["id"] == kind
+    exp = [(d_, i, 1.0, at, 20) for d_, at in ((cast(5), 1), (cast(5), 1), (cast(None), 0)) for i in (cast(1), cast(1), cast(None))]
+    assert sorted((tuple(x) for x in got.collect()), key=str) == sorted(exp, key=str)
+    left = decontam.drop_contaminated(d, b)
+    assert left.columns == d.columns and [x.doc_id for x in left.collect()] == [cast(6)]
+
+
+def test_an_index_is_as_large_as_it_is_planned(prose):
+    items = [(i, prose(40, i)) for i in range(2000)]
+    assert decontam.Index(items, 0.8).nbytes() <= 2000 * (40 * decontam.WORD_BYTES + decontam.ITEM_BYTES)
