@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from driftline.llm import kernels as K
-from driftline.llm.common import small_batches
+from driftline.llm.common import keep_clashing, small_batches
 
 #: Longer texts are pre-split; the limit is in characters.
 SEGMENT_CHARS = 1 << 16
@@ -83,8 +83,12 @@ def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Replace ``text_col`` by the token ids (array of int) of the whole text; other columns stay.
-    A null or empty text gives an empty array.  One pass, no shuffle."""
+    """Replace ``text_col`` by the token ids (array of int) of the whole text; other columns stay,
+    one of the name ``ids_col`` with "_input" behind its name.  A null or empty text gives an empty
+    array, repeated rows one each, an empty table none; texts of any length are encoded whole.  One
+    pass, no shuffle."""
+    if ids_col.lower() != text_col.lower():
+        df = keep_clashing(df, ids_col)
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     kept = [f.name for f in _passed(df, text_col)]
 
@@ -105,7 +109,12 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded", keep_ids: bool = True) -> DataFrame:
     """Add the raw bytes (binary) that the ids stand for; null ids give empty bytes.  An id outside
-    the vocabulary fails the job.  The bytes are not forced to be valid UTF-8."""
+    the vocabulary fails the job.  The bytes are not forced to be valid UTF-8.  Another column of
+    the name ``out_col`` stays with "_input" behind its name."""
+    if out_col.lower() != ids_col.lower():
+        df = keep_clashing(df, out_col)
+    elif keep_ids:
+        raise ValueError("ids and bytes need two names")
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     fields = [f for f in df.schema.fields if keep_ids or f.name != ids_col]
     kept = [f.name for f in fields]
@@ -123,7 +132,9 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", ou
 
 
 def encode_decode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``text_col`` replaced by ``ids`` and ``decoded`` in one pass over each batch."""
+    """``text_col`` replaced by ``ids`` and ``decoded`` in one pass over each batch, as by
+    :func:`encode` and :func:`decode`; other columns of these names stay with "_input" behind."""
+    df = keep_clashing(df, *(c for c in ("ids", "decoded") if c != text_col.lower()))
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     kept = [f.name for f in _passed(df, text_col)]
 

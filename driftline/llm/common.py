@@ -38,16 +38,30 @@ def keep_clashing(df: DataFrame, *made: str) -> DataFrame:
     return df
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: one without stands for the cluster's default file system, which is
+    not each machine's own disk."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.  Only where that is unset
-    (a local session in tests) a temporary folder becomes the checkpoint folder."""
+    """The folder that the cluster names in spark.checkpoint.dir.  Only a local session may leave it
+    unset (tests do); a temporary folder then becomes the checkpoint folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="driftline-checkpoint-")
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    return qualified(spark, named)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

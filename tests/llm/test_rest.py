@@ -26,8 +26,9 @@ TEXTS = ["", None, "Hello  world\n\n x", "it's 12 <|endoftext|> é日本", "word
 
 
 def test_encode_decode_equals_the_plain_library(spark, plain):
-    rows = [(i, t, i) for i, t in enumerate(TEXTS)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, decoded long").drop("decoded")
+    rows = [(i, t, i, "x") for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Decoded long, ids string")
+    assert bpe.encode_decode(df, RANKS, PATTERN).columns == ["doc_id", "Decoded_input", "ids_input", "ids", "decoded"]
     got = {r.doc_id: r for r in bpe.encode_decode(df, RANKS, PATTERN).collect()}
     for i, t in enumerate(TEXTS):
         assert got[i].ids == plain.encode_ordinary(t or "")
@@ -36,6 +37,10 @@ def test_encode_decode_equals_the_plain_library(spark, plain):
     back = {r.doc_id: bytes(r.decoded) for r in bpe.decode(ids, RANKS, PATTERN).collect()}
     assert back == {i: (t or "").encode() for i, t in enumerate(TEXTS)}
     assert bpe.encode(df.limit(0), RANKS, PATTERN).count() == 0
+    assert {(r.Decoded_input, r.ids_input) for r in bpe.decode(ids, RANKS, PATTERN).collect()} == {(i, "x") for i in range(len(TEXTS))}
+    assert bpe.encode(df.union(df), RANKS, PATTERN, ids_col="text").count() == 2 * len(TEXTS)
+    with pytest.raises(ValueError, match="names"):
+        bpe.decode(ids, RANKS, PATTERN, out_col="IDS")
 
 
 def test_cuts_are_safe(plain):
@@ -45,32 +50,72 @@ def test_cuts_are_safe(plain):
         assert [i for s in bpe.segments(t, 7) for i in plain.encode_ordinary(s)] == plain.encode_ordinary(t)
 
 
-def shard(spark, rows, n=4, slots=64):
+def shard(spark, rows, path, n=4, slots=64):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    placed, versions = sharding.shard_documents(df, n, slots=slots)
-    return placed.collect(), versions
+    return sharding.shard_documents(df, n, path, slots=slots).collect()
 
 
-def test_shards_are_even_and_places_gapless(spark, prose):
-    rows = [(i, prose(random.Random(i).randint(1, 60), i)) for i in range(800)] + [(9, None), (9, ""), (None, "x"), (None, "x")]
-    got, versions = shard(spark, rows)
-    assert len(got) == len(rows)
+def loads(got):
     by_bytes, places = Counter(), defaultdict(list)
     for r in got:
         by_bytes[r.shard] += r.size
         places[r.shard].append(r.slot)
-    assert max(by_bytes.values()) < 1.03 * min(by_bytes.values())
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    return by_bytes
+
+
+def test_shards_are_even_and_places_gapless(spark, prose, tmp_path):
+    rows = [(i, prose(random.Random(i).randint(1, 60), i)) for i in range(800)] + [(9, None), (9, ""), (None, "x"), (None, "x")]
+    got = shard(spark, rows, f"{tmp_path}/m")
+    assert len(got) == len(rows)
+    by_bytes = loads(got)
+    assert max(by_bytes.values()) < 1.03 * min(by_bytes.values())
     text = dict(rows[:800])
     assert all(r.size == len(text[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got if r.doc_id is not None and r.doc_id != 9)
-    assert len(versions) == 64
-    assert shard(spark, [])[0] == []
+    versions = sharding.load_map(spark, f"{tmp_path}/m")
+    assert len(versions) == 64 and versions[0][0] == 1
+    place = {slot: shard_ for _, slot, shard_, _, _ in versions}
+    assert all(r.shard == place[r.virtual_slot] for r in got)
+    assert sum(v[3] for v in versions) == sum(by_bytes.values()) and sum(v[4] for v in versions) == len(rows)
+    assert shard(spark, [], f"{tmp_path}/none") == [] and len(sharding.load_map(spark, f"{tmp_path}/none")) == 64
+
+
+def test_a_stored_map_is_edited_not_replaced(spark, prose, tmp_path):
+    path = f"{tmp_path}/m"
+    rows = [(i, prose(30, i)) for i in range(600)]
+    first = {r.doc_id: r for r in shard(spark, rows, path)}
+    again = {r.doc_id: r for r in shard(spark, rows, path)}
+    assert all(again[i].shard == r.shard and again[i].virtual_slot == r.virtual_slot for i, r in first.items())
+    grown = shard(spark, rows, path, 5)
+    by_bytes = loads(grown)
+    assert set(by_bytes) == set(range(5)) and max(by_bytes.values()) < 1.1 * min(by_bytes.values())
+    stayed = sum(first[r.doc_id].shard == r.shard for r in grown)
+    assert stayed > 0.6 * len(rows) and all(first[r.doc_id].virtual_slot == r.virtual_slot for r in grown)
+    assert sharding.load_map(spark, path)[0][0] == 4
+
+
+def test_rows_without_id_are_spread(spark, tmp_path):
+    df = spark.createDataFrame([(None, "")] * 400, "doc_id long, text string").repartition(16)
+    got = sharding.shard_documents(df, 4, f"{tmp_path}/m", slots=64).collect()
+    assert len(got) == 400 and len({r.virtual_slot for r in got}) > 4
+    loads(got)
+
+
+def test_query_places_every_row_of_the_table(spark):
+    from driftline.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = queries.op8_sharding(spark, d).collect()
+    by_bytes = loads(got)
+    assert sorted(r.doc_id for r in got) == sorted(text) and set(by_bytes) <= set(range(40))
+    assert all(r.size == len(text[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id]) and r.law == "bytes" and r.grown_shard is None for r in got)
+    assert sum(by_bytes.values()) == sum(len(t) + 16 for t in text.values())
 
 
 def test_rebalance_edits_the_map(spark, tmp_path):
     r = random.Random(2)
-    first = sharding.plan_map([(s, r.randint(50, 150), 10) for s in range(512)], 8)
-    first = [v for v in first if v[1] < 512]
+    first = sharding.even_out(sharding.first_map(8, 512), [(s, r.randint(50, 150), 10) for s in range(512)])
     grown = sharding.rebalance(first, 9)
     was, now = {v[1]: v[2] for v in first}, {v[1]: v[2] for v in grown}
     moved = {s for s in was if was[s] != now[s]}
@@ -82,9 +127,21 @@ def test_rebalance_edits_the_map(spark, tmp_path):
     back = {v[1]: v[2] for v in sharding.rebalance(grown, 8)}
     assert all(back[s] == now[s] for s in now if now[s] < 8) and max(back.values()) == 7
     path = f"{tmp_path}/map"
+    assert sharding.load_map(spark, path) == []
     sharding.save_map(spark, first, path)
     sharding.save_map(spark, grown, path)
-    assert sharding.load_map(spark, path) == grown and sharding.load_map(spark, path, 0) == first
+    assert sharding.load_map(spark, path) == grown and sharding.load_map(spark, path, 1) == first
+
+
+@pytest.mark.parametrize("weights", [[], [0] * 64, [10**9] + [1] * 63, list(range(64)), [7] * 64])
+def test_even_out_ends_and_keeps_all_slots(weights):
+    got = sharding.even_out(sharding.first_map(5, 64), [(i, w, 1) for i, w in enumerate(weights)])
+    assert [v[1] for v in got] == list(range(64)) and {v[0] for v in got} == {1}
+    load = Counter({s: 0 for s in range(5)})
+    for _, _, shard_, size, _ in got:
+        load[shard_] += size
+    if weights and max(weights) < 100:
+        assert max(load.values()) - min(load.values()) <= max(weights)
 
 
 def links(rows, least=0.93):
