@@ -11,13 +11,14 @@ where a folder has none).  Filters on record type and header fields are pushed
 down.  A record's headers are parsed first; where the filters reject it, or the
 schema asks for no payload, the rest of the member is skipped, not decoded.
 
-Paths may be local, ``file://`` or any other scheme that pyarrow.fs opens.
+Paths may be of any scheme that pyarrow.fs opens.  ``read`` and ``write`` resolve one
+without scheme against the cluster's default file system; given to the format
+itself it is each machine's own disk.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import struct
 import uuid
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from driftline.llm.common import cut, qualified
+
 SCHEMA = "warc_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, content_length long, payload_length long, payload binary"
 #: Columns of the writer, by name; others are ignored.
 WRITE_SCHEMA = "warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
@@ -40,7 +43,12 @@ WRITE_SCHEMA = "warc_type string, record_id string, target_uri string, refers_to
 SPLIT_BYTES = 32 << 20
 #: Payloads shorter than this are never replaced by a revisit.
 MIN_REVISIT_BYTES = 1000
+#: Repeated digests that are broadcast at most; with hash table about 200 bytes each.
+BROADCAST_DIGESTS = 500_000
 MANIFEST = "_manifest-"
+ARCHIVES = (".warc", ".warc.gz")
+#: Bytes of a record that are decoded at a time in search of its headers.
+HEAD_BYTES = 2048
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FIELD = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 _BRACKETED = {"record_id", "refers_to"}
@@ -95,8 +103,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, date: str) -> None:
-        self.path, self.date = path, date
+    def __init__(self, path: str, date: str, overwrite: bool = False) -> None:
+        self.path, self.date, self.overwrite = path, date, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = _open(self.path)
@@ -122,8 +130,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
+        files = [f for m in messages if m for f in m.files]
+        new = {f["file"] for f in files}
+        old = [n for n in _listed(system, root) if n not in new and (n.startswith(MANIFEST) or n.endswith(ARCHIVES))] if self.overwrite else []
         with system.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
-            out.write("\n".join(json.dumps(f) for m in messages if m for f in m.files).encode())
+            out.write("\n".join(json.dumps(x) for x in [*({"replaces": n} for n in old if n.startswith(MANIFEST)), *files]).encode())
+        for n in sorted(old, key=lambda n: not n.startswith(MANIFEST)):
+            system.delete_file(f"{root}/{n}")
 
     def abort(self, messages: list) -> None:
         system, root = _open(self.path)
@@ -139,22 +152,28 @@ class Part(InputPartition):
     end: int
 
 
+def _listed(system: fs.FileSystem, root: str) -> dict[str, int]:
+    """Name and size of the files of a folder."""
+    return {f.base_name: f.size for f in system.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File}
+
+
 def plan(path: str) -> list[Part]:
     """Partitions: the spans between the offsets of the manifests, or whole files without one."""
     system, root = _open(path)
     info = system.get_file_info(root)
     if info.type == fs.FileType.File:
         return [Part(root, 0, info.size)]
-    files = {f.base_name: f.size for f in system.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File}
-    manifests = sorted(n for n in files if n.startswith(MANIFEST))
+    files = _listed(system, root)
+    manifests = {}
+    for name in sorted(n for n in files if n.startswith(MANIFEST)):
+        with system.open_input_stream(f"{root}/{name}") as f:
+            manifests[name] = [json.loads(x) for x in f.read().decode().splitlines()]
     if not manifests:
-        return [Part(f"{root}/{n}", 0, size) for n, size in sorted(files.items()) if n.endswith((".warc", ".warc.gz")) and not n.startswith(("_", "."))]
+        return [Part(f"{root}/{n}", 0, size) for n, size in sorted(files.items()) if n.endswith(ARCHIVES) and not n.startswith(("_", "."))]
+    replaced = {x["replaces"] for lines in manifests.values() for x in lines if "replaces" in x}
     out = []
-    for name in manifests:
-        with system.open_input_stream(f"{root}/{name}") as f:
-            lines = f.read().decode().splitlines()
-        for x in map(json.loads, lines):
-            out += [Part(f"{root}/{x['file']}", a, b) for a, b in zip(x["starts"], [*x["starts"][1:], x["size"]], strict=True)]
+    for x in (x for name, lines in manifests.items() if name not in replaced for x in lines if "file" in x):
+        out += [Part(f"{root}/{x['file']}", a, b) for a, b in zip(x["starts"], [*x["starts"][1:], x["size"]], strict=True)]
     return out
 
 
@@ -171,31 +190,39 @@ class _Source:
     """Buffered reads of one partition."""
 
     def __init__(self, f: object, start: int, end: int) -> None:
-        self.f, self.base, self.end, self.buf = f, start, end, b""
+        self.f, self.base, self.end = f, start, end
+        self.buf, self.at = b"", 0
         f.seek(start)
 
-    def need(self, n: int) -> bytes:
+    def need(self, n: int) -> memoryview:
         """At least n bytes from the present place, or what is left."""
-        while len(self.buf) < n and (got := self.f.read(max(1 << 18, n - len(self.buf)))):
-            self.buf += got
-        return self.buf
+        if len(self.buf) - self.at < n:
+            pieces = [self.buf[self.at :]]
+            have = len(pieces[0])
+            while have < n and (got := self.f.read(max(1 << 18, n - have))):
+                pieces.append(got)
+                have += len(got)
+            self.buf, self.at = b"".join(pieces), 0
+        return memoryview(self.buf)[self.at :]
+
+    def find(self, what: bytes) -> int:
+        """Where ``what`` lies in the bytes read so far, from the present place."""
+        found = self.buf.find(what, self.at)
+        return found - self.at if found >= 0 else -1
 
     def skip(self, n: int) -> None:
         self.base += n
-        if n <= len(self.buf):
-            self.buf = self.buf[n:]
+        if n <= len(self.buf) - self.at:
+            self.at += n
         else:
-            self.buf = b""
+            self.buf, self.at = b"", 0
             self.f.seek(self.base)
 
 
 def records(source: _Source, wanted: object, payload: bool) -> Iterator[tuple[dict[str, str], dict[str, str], bytes | None]]:
     """(WARC headers, HTTP headers, payload) of the records that ``wanted`` accepts by header."""
-    while source.base < source.end and source.need(4):
-        if source.buf[:2] == b"\x1f\x8b":
-            yield from _gzip_record(source, wanted, payload)
-        else:
-            yield from _plain_record(source, wanted, payload)
+    while source.base < source.end and len(start := source.need(4)):
+        yield from (_gzip_record if start[:2] == b"\x1f\x8b" else _plain_record)(source, wanted, payload)
 
 
 def _split_block(block: bytes, kind: str) -> tuple[dict[str, str], bytes]:
@@ -205,9 +232,14 @@ def _split_block(block: bytes, kind: str) -> tuple[dict[str, str], bytes]:
     return _headers(head), body
 
 
+def _headed(block: bytes) -> bool:
+    """Whether the start of a block tells all that its HTTP headers do."""
+    return len(block) >= 5 and (block[:5] != b"HTTP/" or b"\r\n\r\n" in block)
+
+
 def _gzip_record(source: _Source, wanted: object, payload: bool) -> Iterator:
-    source.need(24)
-    total = struct.unpack_from("<I", source.buf, 16)[0] if source.buf[3] & 4 and source.buf[12:14] == b"sl" else 0
+    start = source.need(24)
+    total = struct.unpack_from("<I", start, 16)[0] if start[3] & 4 and start[12:14] == b"sl" else 0
     z = zlib.decompressobj(31)
     fed, plain = 0, b""
 
@@ -224,15 +256,14 @@ def _gzip_record(source: _Source, wanted: object, payload: bool) -> Iterator:
         plain += z.decompress(piece, limit)
         return True
 
-    while b"\r\n\r\n" not in plain and more(2048):
+    while b"\r\n\r\n" not in plain and more(HEAD_BYTES):
         pass
     head, _, rest = plain.partition(b"\r\n\r\n")
     fields = _headers(head)
     if wanted(fields):
         length = int(fields.get("content-length", 0))
-        need = length if payload else min(length, 2048)
         plain = rest
-        while len(plain) < need and (payload or b"\r\n\r\n" not in plain) and more(max(1, need - len(plain))):
+        while len(plain) < length and (payload or not _headed(plain)) and more(length - len(plain) if payload else HEAD_BYTES):
             pass
         http, body = _split_block(plain[:length], fields.get("warc-type", ""))
         yield fields, http, body if payload else None
@@ -247,16 +278,20 @@ def _gzip_record(source: _Source, wanted: object, payload: bool) -> Iterator:
 
 def _plain_record(source: _Source, wanted: object, payload: bool) -> Iterator:
     at, size = -1, 1 << 12
-    while (at := source.buf.find(b"\r\n\r\n")) < 0 and len(source.need(size)) >= size:
+    while (at := source.find(b"\r\n\r\n")) < 0 and len(source.need(size)) >= size:
         size *= 2
     if at < 0:
         source.skip(source.end - source.base)
         return
-    fields = _headers(source.buf[:at].lstrip(b"\r\n"))
+    fields = _headers(bytes(source.need(at)[:at]).lstrip(b"\r\n"))
     length = int(fields.get("content-length", 0))
     if wanted(fields):
-        need = at + 4 + (length if payload else min(length, 2048))
-        block = source.need(need)[at + 4 : at + 4 + length]
+        size = length if payload else min(length, HEAD_BYTES)
+        while True:
+            block = bytes(source.need(at + 4 + size)[at + 4 : at + 4 + size])
+            if payload or size >= length or _headed(block):
+                break
+            size = min(length, 2 * size)
         http, body = _split_block(block, fields.get("warc-type", ""))
         yield fields, http, body if payload else None
     source.skip(at + 4 + length + 4)
@@ -340,10 +375,11 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], self.options.get("date", "2020-01-01T00:00:00Z"))
+        return WarcWriter(self.options["path"], self.options.get("date", "2020-01-01T00:00:00Z"), overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session and let its sources take filters; reading needs both."""
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
@@ -352,20 +388,24 @@ def read(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
     """Records under ``path`` with the given columns (a DDL part of ``SCHEMA``); leave ``payload``
     out to skip the decoding of payloads."""
     register(spark)
-    return spark.read.format("warc").schema(columns).load(path)
+    return spark.read.format("warc").schema(columns).load(qualified(spark, path))
 
 
 def page_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Rows of ``WRITE_SCHEMA`` for (page_id, url, html) pages.
+    """Rows of ``WRITE_SCHEMA`` for (page_id, url, html) pages; other columns are left out.
 
     Of pages with equal payloads of at least ``min_bytes`` the one with the largest page_id is the
     response, the others revisit it.  Per digest one row (largest id) is pre-aggregated and only
     digests that occur twice are joined back, so a payload that fills a third of the table adds
-    one row to the small side; a skewed digest on the page side is split by adaptive execution.
-    A null html has an empty payload; a page without id is always a response with a fresh record
+    one row to the small side.  That table is written and counted: up to ``BROADCAST_DIGESTS`` rows
+    it is broadcast and no payload is shuffled; beyond, payloads are shuffled by digest, and
+    adaptive execution splits a digest of many pages.  A null html has an empty payload; a page without id is always a response with a fresh record
     id; rows that repeat the largest id are all responses."""
     keyed = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     shared = keyed.filter(F.col("size") >= min_bytes).groupBy(F.col("digest").alias("digest_of"), F.col("size").alias("size_of")).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null").drop("n")
+    shared = cut(shared)
+    if shared.count() <= BROADCAST_DIGESTS:
+        shared = F.broadcast(shared)
     joined = keyed.join(shared, (F.col("digest") == F.col("digest_of")) & (F.col("size") == F.col("size_of")), "left")
     revisit = F.col("first_id").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first_id"))
     name = lambda c: F.concat(F.lit("urn:x-page:"), c.cast("string"))
@@ -380,10 +420,11 @@ def page_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     )
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """Append records (columns of ``WRITE_SCHEMA``) to the archive folder at ``path``."""
+def write(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Append records (columns of ``WRITE_SCHEMA``) to the archive folder at ``path``, or replace
+    what it holds (mode "overwrite")."""
     register(rows.sparkSession)
-    rows.write.format("warc").mode("append").save(path)
+    rows.write.format("warc").mode(mode).save(qualified(rows.sparkSession, path))
 
 
 def page_index(spark: SparkSession, path: str) -> DataFrame:
@@ -403,7 +444,3 @@ def page_index(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_name() -> str:
     return f"warc-{uuid.uuid4().hex}"
-
-
-def sha1_hex(payload: bytes) -> str:
-    return hashlib.sha1(payload).hexdigest()

@@ -229,3 +229,38 @@ def test_plain_and_foreign_gzip_records():
 
 def test_empty_archive(spark, tmp_path):
     assert W.page_index(spark, archive(spark, tmp_path, [])).count() == 0
+
+
+def test_overwrite_replaces_and_append_adds(spark, tmp_path):
+    path = f"{tmp_path}/w"  # without scheme: the default file system
+    rows = lambda *ids: W.page_records(pages(spark, [(i, "u", f"<p>{i}") for i in ids]))
+    ids = lambda: sorted(r.page_id for r in W.page_index(spark, path).collect())
+    W.write(rows(1, 2, 3), path)
+    W.write(rows(4), path)
+    assert ids() == [1, 2, 3, 4]
+    W.write(rows(5, 6), path, "overwrite")
+    assert ids() == [5, 6]
+    rows(7).write.format("warc").mode("overwrite").save(path)
+    assert ids() == [7]
+    W.write(rows(8), path)
+    assert ids() == [7, 8]
+    assert sum(f.name.endswith(".warc.gz") for f in (tmp_path / "w").iterdir()) == 2
+
+
+def test_long_http_headers_are_read_without_the_payload():
+    body = b"x" * 5000
+    http = b"HTTP/1.1 200 OK\r\nX: " + b"h" * 9000 + b"\r\nContent-Length: 5000\r\n\r\n"
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(http + body) + http + body + b"\r\n\r\n"
+    for raw in (one * 3, W.member(one) * 3):
+        for payload in (True, False):
+            got = list(W.records(W._Source(io.BytesIO(raw), 0, len(raw)), lambda h: True, payload))
+            assert [x["content-length"] for _, x, _ in got] == ["5000"] * 3
+            assert all(p == (body if payload else None) for _, _, p in got)
+
+
+def test_many_repeated_digests_are_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    rows = [(i, "u", f"<p>{i % 7} " * 400) for i in range(40)]
+    few = sorted(map(tuple, W.page_index(spark, archive(spark, tmp_path, rows)).collect()), key=str)
+    monkeypatch.setattr(W, "BROADCAST_DIGESTS", 0)
+    assert sorted(map(tuple, W.page_index(spark, archive(spark, tmp_path / "x", rows)).collect()), key=str) == few
+    assert sum(r[3] == "response" for r in few) == 7
