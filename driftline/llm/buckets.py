@@ -2,7 +2,7 @@
 
 Documents are dealt by a hash of their text, so copies meet in one bucket and
 count once there.  A text whose copies would overfill a bucket is salted by
-the document id; the table of such texts is bounded and broadcast.  Buckets
+the document id.  Buckets
 hold a bounded number of bytes, whatever the size of the corpus.
 
 A bucket talks to the others through blocks: sorted 64-bit hashes are cut into
@@ -17,14 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.llm import kernels as K
-from driftline.llm.common import small_batches
+from driftline.llm.common import cut, small_batches
 
 #: Text bytes of a bucket; bounds what a Python worker holds.
 BUCKET_BYTES = 4 << 20
-#: Bound of the broadcast table of texts whose copies fill half a bucket or more; the heaviest.
-MAX_HOT_TEXTS = 10_000
+#: Cells of text hashes by which texts with many copies are told.
+CELLS = 1 << 18
+#: Hashes of a range, which one task compares.
+PART_HASHES = 1 << 21
 #: Bytes that a row weighs besides its text.
 ROW_BYTES = 16
 
@@ -39,21 +42,35 @@ def runs(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES, passed: bool = False) -> tuple[DataFrame, int]:
-    """(id, text, bucket) of every row and the number of buckets.  With ``passed`` the other columns
-    follow as passed_0, passed_1, ...  Ids become longs; one narrow pass weighs the texts first."""
-    spark = small_batches(docs).sparkSession
+def deal(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES, passed: bool = False) -> tuple[DataFrame, int, int]:
+    """(id, text, bucket) of every row, the number of buckets, and the bytes that rows weigh.  With
+    ``passed`` the other columns follow as passed_0, passed_1, ...
+
+    Ids must be whole numbers (they become longs); other ids are refused before any job runs.  One
+    narrow pass weighs the texts' copies, by cells of a text's hash: the cells whose heaviest text
+    fills half a bucket or more are a table of at most CELLS rows, however many such texts there
+    are, and a cell's texts are salted by the need of the heaviest."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number, not {docs.schema[id_col].dataType.simpleString()}")
+    small_batches(docs)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_BYTES
     copies = docs.groupBy(F.xxhash64(text_col).alias("key")).agg(F.sum(size).alias("held"))
-    total = copies.agg(F.sum("held")).first()[0] or 0
-    buckets = max(8, -(-int(total) // bucket_bytes))
-    hot = copies.filter(F.col("held") > bucket_bytes // 2).orderBy(F.desc("held"), "key").limit(MAX_HOT_TEXTS).collect()
+    cells = cut(copies.groupBy(F.pmod("key", F.lit(CELLS)).alias("cell")).agg(F.sum("held").alias("held"), F.max("held").alias("top")))
+    total = int(cells.agg(F.sum("held")).first()[0] or 0)
+    buckets = max(8, -(-total // bucket_bytes))
+    hot = F.broadcast(cells.filter(F.col("top") > bucket_bytes // 2).select("cell", F.ceil(2 * F.col("top") / bucket_bytes).alias("salts")))
     others = [c for c in docs.columns if passed and c not in (id_col, text_col)]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"passed_{i}") for i, c in enumerate(others)))
-    salts = F.broadcast(spark.createDataFrame([(r[0], -(-2 * r[1] // bucket_bytes)) for r in hot], "key long, salts long"))
-    rows = rows.withColumn("key", F.xxhash64("text")).join(salts, "key", "left")
-    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("salts"))).otherwise(F.lit(0))
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("key", salt), F.lit(buckets)).cast("int")).drop("key", "salts"), buckets
+    rows = rows.withColumn("key", F.xxhash64("text")).withColumn("cell", F.pmod("key", F.lit(CELLS))).join(hot, "cell", "left")
+    by = F.xxhash64("id", F.when(F.col("id").isNull(), F.spark_partition_id()))  # copies without id are spread too
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(by, F.col("salts"))).otherwise(F.lit(0))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key", salt), F.lit(buckets)).cast("int")).drop("key", "cell", "salts"), buckets, total
+
+
+def parts_for(total: int, bytes_per_hash: int) -> int:
+    """Hash ranges for texts of so many bytes: each gets about PART_HASHES hashes, however many
+    buckets send them."""
+    return max(8, -(-total // (PART_HASHES * bytes_per_hash)))
 
 
 class Bucket:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,12 +66,57 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """:func:`cut`, and the folder of the table, for callers that know when it may go."""
+    path = f"{shared_dir(df.sparkSession)}/driftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write to a table of its own in the shared checkpoint folder and read it back: the lineage
     ends there, and a lost executor costs no recomputation of what lies before."""
-    path = f"{shared_dir(df.sparkSession)}/driftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_at(df)[0]
+
+
+#: Folders of the tables that this process has cut and not removed.
+_made: list[str] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Remove, when the block ends, the tables that were cut in it.  What is computed from them must
+    be written by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            remove(spark, path)
+        del _made[before:]
+
+
+#: Rows of a key from which on :func:`join_per_key` deals them out, and how many such keys it knows.
+HOT_ROWS = 256
+HOT_KEYS = 8192
+#: Parts of one key at most.
+HOT_PARTS = 1024
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with one row per key, where one key may hold a third of the rows.
+
+    ``per_key`` tells in ``count`` how many rows a key has, at least.  Of the keys with more than
+    HOT_ROWS the HOT_KEYS largest (a table of that bound, broadcast) are salted: their rows go to
+    several tasks by a hash of all columns, and the key's row to each of these.  Any other key has
+    less than one row in HOT_KEYS.  No row is left out, and the result does not depend on the salt."""
+    hot = per_key.filter(F.col(count) > HOT_ROWS).orderBy(F.desc(count), key).limit(HOT_KEYS)
+    hot = F.broadcast(hot.select(F.col(key).alias("_hot"), F.least(F.lit(HOT_PARTS), F.ceil(F.col(count) / HOT_ROWS)).cast("int").alias("_parts")))
+    spread = lambda df: df.join(hot, F.col(key) == F.col("_hot"), "left")
+    salted = spread(rows).withColumn("_salt", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int")).otherwise(0))
+    copied = spread(per_key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return salted.drop("_hot", "_parts").join(copied.drop("_hot", "_parts"), [key, "_salt"]).drop("_salt")
 
 
 def fold(doc_id: Column, modulus: int) -> Column:

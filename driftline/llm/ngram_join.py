@@ -18,30 +18,34 @@ classes are the nodes of the join.
    anything is verified.
 4. Survivors are verified by exact set intersection; links give components.
 5. Tokens shared by many nodes: a star may miss links between members that are
-   too far from its hub.  Nodes that share such a token but no component form
-   crowds.  A crowd is ordered by size and compared block against block, only
-   where sizes allow a link; a block pair gives spanning links, never its
-   pairs.  Groups whose star links hold need no second look.
+   too far from its hub.  Where such a token's nodes lie in several components,
+   they are compared block against block, only where sizes allow a link; a block
+   pair gives spanning links, never its pairs.  Groups whose star links hold need
+   no second look.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm import buckets as B
 from driftline.llm import kernels as K
-from driftline.llm.common import cut
+from driftline.llm.common import cut, join_per_key
 from driftline.llm.components import components, spanning
 
 #: Nodes of a token up to which all pairs are formed.
 SMALL = 16
-#: Nodes of a crowd that are compared at a time.
+#: Nodes that are compared with as many others at a time, and tokens that are compared at a time.
 BLOCK = 256
+COLUMNS = 8192
+#: Bytes of text for each token, at least.
+WORD_BYTES = 6
 #: Seeds of the second and third order.
 ORDER_SEEDS = (0x51ED270B7F4A7C15, 0xA24BAED4963EE407)
 #: Bits of a token that buckets exchange.  Tokens that agree on them count as one in frequencies,
@@ -128,8 +132,8 @@ def nodes(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     ``several`` counts the tokens that occur in other texts too; ``first`` to ``third`` are the prefixes under the three orders without tokens of one text, and
     ``tokens`` the whole set; they are there once per distinct text of a bucket, and only if enough
     of its tokens occur elsewhere for a link."""
-    source, parts = B.deal(docs, id_col, text_col)
-    known = _exchange(source, rule, parts)
+    source, _, total = B.deal(docs, id_col, text_col)
+    known = _exchange(source, rule, B.parts_for(total, WORD_BYTES))
 
     def build(texts: pa.Table, replies: pa.Table) -> pa.Table:
         bucket = B.Bucket(texts)
@@ -221,40 +225,53 @@ def _links(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
 def _crowds(placed: DataFrame, mixed: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
     """Verified links (a, b) between nodes that share a token of many nodes but no component.
 
-    ``placed``: (token, node, root) of tokens of many nodes; ``mixed``: (token, lo) of those with
-    several roots and the smallest.  Components that share a token are a crowd.  Links of a block
-    pair are reduced to spanning ones."""
-    meeting = cut(placed.join(mixed, "token").select("node", "root", "lo").distinct())
-    crowd = components(meeting.select(F.col("lo").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("crowd"))
-    sizes = held.select("node", "n")
-    order = Window.partitionBy("crowd").orderBy("n", "node")
-    members = cut(meeting.select("node", "root").distinct().join(crowd, "root").join(sizes, "node").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")))
-    span = members.groupBy("crowd", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count_distinct("root").alias("roots"), F.min("root").alias("some"))
-    lo = span.select("crowd", F.col("block").alias("lo"), F.col("most").alias("most_lo"), F.col("roots").alias("roots_lo"), F.col("some").alias("some_lo"))
-    hi = span.select("crowd", F.col("block").alias("hi"), "least", "roots", "some")
-    several = (F.col("roots") > 1) | (F.col("roots_lo") > 1) | (F.col("some") != F.col("some_lo"))
-    tasks = lo.join(hi, "crowd").filter((F.col("lo") <= F.col("hi")) & (F.col("most_lo") * rule.of >= F.col("least") * rule.least) & several)
-    tasks = tasks.select("crowd", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
-    sides = members.select("crowd", "block", "node", "root").join(tasks, ["crowd", "block"])
+    ``placed``: (token, node, root) of tokens of many nodes; ``mixed``: (token, same) of those with
+    several roots, of each set of nodes one token.  A token's nodes fall into bands of sizes, as
+    wide as the similarity allows, so only nodes of one band or of neighbours can link.  A band is
+    dealt into blocks by a hash, and blocks are compared in pairs; no node is numbered or sorted.
+    Links of a block pair are reduced to spanning ones."""
+    width = -math.log(rule.least / rule.of) * (1 + 1e-9)  # sizes that can link are never two bands apart
+    band = F.floor(F.log("n") / width).cast("int")
+    meeting = join_per_key(placed, mixed, "token").select("token", "node", "root").join(held.select("node", band.alias("band")), "node")
+    bands = meeting.groupBy("token", "band").agg(F.count("*").alias("n")).withColumn("of", F.struct("token", "band"))
+    dealt = join_per_key(meeting.select(F.struct("token", "band").alias("of"), "node", "root"), bands.select("of", "n"), "of")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    members = cut(dealt.select("of.token", "of.band", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "root"))
+    span = members.groupBy("token", "band", "block").agg(F.min("root").alias("first"), F.max("root").alias("last"))
+    lo = span.select("token", F.col("band").alias("band_lo"), F.col("block").alias("lo"), F.col("first").alias("first_lo"), F.col("last").alias("last_lo"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    hi = span.withColumnRenamed("block", "hi")
+    several = F.least("first", "first_lo") < F.greatest("last", "last_lo")
+    tasks = lo.join(hi, ["token", "band"]).filter(((F.col("band") > F.col("band_lo")) | (F.col("lo") <= F.col("hi"))) & several)
+    keys = ["token", "band_lo", "lo", "band_hi", "hi"]
+    tasks = tasks.withColumnRenamed("band", "band_hi").select(*keys)
+    side = lambda at: tasks.select(*keys, F.col(f"band_{at}").alias("band"), F.col(at).alias("block"))
+    sides = members.join(side("lo").union(side("hi")).distinct(), ["token", "band", "block"])
 
     def verify(table: pa.Table) -> pa.Table:
-        node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
+        node, root, band, block = (table.column(c).to_numpy() for c in ("node", "root", "band", "block"))
         lists = table.column("tokens").combine_chunks()
         n = np.diff(lists.offsets.to_numpy())
         token, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)[1:]
         common = count > 1
-        column = (np.cumsum(common) - 1)[token]
         keep = common[token]
-        has = np.zeros((len(node), max(1, int(common.sum()))), np.float32)
-        has[np.repeat(np.arange(len(node)), n)[keep], column[keep]] = 1
-        a, b = np.flatnonzero(block == table.column("lo")[0].as_py()), np.flatnonzero(block == table.column("hi")[0].as_py())
-        both = np.rint(has[a] @ has[b].T).astype(np.int64)
+        column, owner = (np.cumsum(common) - 1)[token][keep], np.repeat(np.arange(len(node)), n)[keep]
+        by = np.argsort(column, kind="stable")
+        column, owner = column[by], owner[by]
+        first = {c: table.column(c)[0].as_py() for c in keys[1:]}
+        a, b = (np.flatnonzero((band == first[f"band_{x}"]) & (block == first[x])) for x in ("lo", "hi"))
+        both = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, int(common.sum()), COLUMNS):
+            x, y = np.searchsorted(column, [at, at + COLUMNS])
+            has = np.zeros((len(node), COLUMNS), np.float32)
+            has[owner[x:y], column[x:y] - at] = 1
+            both += has[a] @ has[b].T
+        both = np.rint(both).astype(np.int64)
         near = (both * rule.of >= (n[a][:, None] + n[b][None, :] - both) * rule.least) & (root[a][:, None] != root[b][None, :])
         label = spanning(near, a, b, len(node))
         own = np.flatnonzero(label != np.arange(len(node)))
         return pa.table({"a": node[own], "b": node[label[own]]})
 
-    found = sides.join(held.select("node", "tokens"), "node").groupBy("crowd", "lo", "hi").applyInArrow(K.released(verify), "a long, b long")
+    found = sides.join(held.select("node", "tokens"), "node").groupBy(*keys).applyInArrow(K.released(verify), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -268,12 +285,23 @@ class Joined:
     roots: DataFrame
 
 
+def settled(found: DataFrame) -> DataFrame:
+    """``found`` with node keys that tell all sets apart: where different sets have one 64-bit key,
+    as a few of 10**10 will, they take keys made from their second one."""
+    for turn in range(8):
+        classes = found.filter("n > 0").groupBy("node").agg(F.min("check").alias("check"), F.max("check").alias("check_to"))
+        clashing = cut(classes.filter("check != check_to").select(F.col("node").alias("clashing")))
+        if not clashing.limit(1).count():
+            return found
+        other = F.xxhash64("check", F.lit(turn), "n")
+        found = found.join(clashing, F.col("node") == F.col("clashing"), "left").withColumn("node", F.when(F.col("clashing").isNotNull(), other).otherwise(F.col("node"))).drop("clashing")
+        found = cut(found)
+    raise RuntimeError("keys of sets do not settle")
+
+
 def similarity_join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> Joined:
-    found = cut(nodes(docs, rule, id_col, text_col))
-    known = found.select("id", "n", "node", "check")
-    classes = known.filter("n > 0").groupBy("node").agg(F.min("check").alias("check"), F.max("check").alias("check_to"))
-    if classes.filter("check != check_to").limit(1).count():
-        raise RuntimeError("two different shingle sets have one 64-bit key; use another seed")
+    found = settled(cut(nodes(docs, rule, id_col, text_col)))
+    known = found.select("id", "n", "node")
 
     # one bearer per node: equal sets in several buckets are texts that differ in white space or
     # case, or the salted copies of a hot text
@@ -285,33 +313,38 @@ def similarity_join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     held = held.select("node", "n", "s", "first", "second", "third", "tokens")
 
     posted = held.select("node", "n", "s", F.explode("first").alias("token"))
-    # counts combine before the shuffle; in the join back a crowded token's rows can be split
     met = posted.groupBy("token").agg(F.count("*").alias("shared_by"), F.min(F.struct("node", "n", "s")).alias("hub")).filter("shared_by > 1")
-    shared = cut(posted.join(met, "token"))
+    shared = cut(join_per_key(posted, met, "token", "shared_by"))
     large = shared.filter(F.col("shared_by") > SMALL)
     candidates = cut(_pairs(shared, rule))
     links = cut(_links(candidates, held, rule).distinct())
     roots = components(links)
 
-    placed = large.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = cut(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token", "lo"))
+    placed = cut(large.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
+    mixed = cut(tokens.filter("lo < hi").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token", "n"))
     if mixed.limit(1).count():
         more = cut(_crowds(placed, mixed, held, rule).distinct())
         if more.limit(1).count():
             links = links.union(more)
             roots = components(links)
-    return Joined(known.select("id", "n", "node"), links, roots)
+    return Joined(known, links, roots)
 
 
 def group_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row; ``component_id`` is the smallest id reachable.
+    """(id, n_shingles, component_id) for every row; ``component_id`` is the smallest id reachable;
+    other columns are left out.
 
-    Null and empty texts have an empty set, link with nothing and are their own component; a null
-    id gets the smallest id of its component, or null alone; repeated rows share a class; ties at
-    the threshold link; an empty table gives no rows."""
+    Ids are whole numbers, others are refused (TypeError).  Null and empty texts have an empty set,
+    link with nothing and are their own component; a null id gets the smallest id of its component,
+    or null alone; repeated rows share a class; ties at the threshold link; an empty table gives no
+    rows."""
     joined = similarity_join(docs, rule, id_col, text_col)
-    in_class = joined.documents.filter("n > 0").groupBy("node").agg(F.min("id").alias("first_id"))
-    rooted = in_class.join(joined.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = rooted.join(least, "root").select(F.col("node").alias("of"), "component_id")
-    return joined.documents.join(label, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    full = joined.documents.filter("n > 0")
+    in_class = full.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    rooted = cut(in_class.join(joined.roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes"))
+    label = join_per_key(rooted, least, "root", "classes").select("node", "component_id", "copies")
+    labelled = join_per_key(full, label, "node", "copies").select("id", F.col("n").alias("n_shingles"), "component_id")
+    empty = joined.documents.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return labelled.union(empty)

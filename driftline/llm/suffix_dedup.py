@@ -370,20 +370,22 @@ def whole_characters(text: np.ndarray, covered: np.ndarray) -> np.ndarray:
 
 def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES) -> DataFrame:
     """``docs`` with the text cut to its kept characters; other columns as they are.  A null text
-    becomes empty."""
+    becomes empty.  Null and repeated ids, and empty tables, as in :func:`dedup`."""
     return _plan(docs, id_col, text_col, bucket_bytes, MANY_BUCKETS, False)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES, many_buckets: int = MANY_BUCKETS) -> DataFrame:
-    """(id, n_bytes, spans, kept): the removed byte spans, maximal and ascending, and the kept bytes.
+    """(id, n_bytes, spans, kept): the removed byte spans, maximal and ascending, and the kept bytes;
+    other columns are left out.
 
-    A null text is empty.  A null id counts as larger than every id and as equal to other nulls;
+    Ids are whole numbers, others are refused (TypeError).  A null text is empty.  A null id counts as larger than every id and as equal to other nulls;
     rows with one id never cut each other.  An empty table gives no rows."""
     return _plan(docs, id_col, text_col, bucket_bytes, many_buckets, True)
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, many_buckets: int, spans_wanted: bool) -> DataFrame:
-    source, parts = B.deal(docs, id_col, text_col, bucket_bytes, passed=not spans_wanted)
+    source, buckets, total = B.deal(docs, id_col, text_col, bucket_bytes, passed=not spans_wanted)
+    parts, context_parts = B.parts_for(total, SPAN // 2), buckets
     passed = [f for f in docs.schema.fields if not spans_wanted and f.name not in (id_col, text_col)]
 
     def send_hashes(table: pa.Table) -> pa.Table:
@@ -422,7 +424,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, many_b
         if not texts.num_rows:
             return B.SENT.empty_table()
         entries, _, _ = _Bucket(texts).shared(known_of(hashes))
-        return B.blocks(entries["h"], entries, parts, texts.column("bucket")[0].as_py(), lambda e: B.pack(e.tobytes()))
+        return B.blocks(entries["h"], entries, context_parts, texts.column("bucket")[0].as_py(), lambda e: B.pack(e.tobytes()))
 
     def judge(table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_numpy()

@@ -110,3 +110,61 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {3: 3, 4: 3, 5: 3, 9: 3, 20: 20, 21: 20, 22: 20, 30: 30, 31: 30} | {100 + i: 100 for i in range(41)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("rule", [N.Rule(4, 85, 100), N.Rule(5, 80, 100)])
+def test_crowds_in_small_blocks(spark, prose, monkeypatch, rule):
+    """Texts of several sizes around common passages, so that tokens of many nodes mix components."""
+    for name, value in (("SMALL", 2), ("BLOCK", 8), ("COLUMNS", 64)):
+        monkeypatch.setattr(N, name, value)
+    r = random.Random(11)
+    common = [prose(45, 900 + i) for i in range(2)]
+    rows = []
+    for g in range(30):
+        base = " ".join([*common[: g % 3], prose(r.randint(2, 12), g)])
+        for _ in range(r.choice([1, 2, 4])):
+            rows.append((len(rows) * 7 % 1009, edited(base, r, r.randint(0, 2))))
+    assert run(spark, rows, rule) == brute(rows, rule)
+
+
+def test_sets_with_one_key_take_others(spark, prose, monkeypatch):
+    real = N.set_keys
+    monkeypatch.setattr(N, "set_keys", lambda token, sizes: (real(token, sizes)[0] % 3, real(token, sizes)[1]))
+    rows = [(i, prose(30, i // 2)) for i in range(20)] + [(90, ""), (91, None)]
+    rule = N.Rule(4, 85, 100)
+    assert run(spark, rows, rule) == brute(rows, rule)
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        N.group_documents(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_other_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 7, 8, "x"), (2, "a b c d e", 7, 8, "x")], "doc_id int, text string, node long, id long, component_id string")
+    assert sorted(map(tuple, N.group_documents(df).collect())) == [(1, 2, 1), (2, 2, 1)]
+
+
+def test_a_hot_key_is_dealt_out_and_no_row_lost(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from driftline.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(2000).select(F.when(F.col("id") < 900, F.lit(1)).otherwise(F.col("id") % 40).cast("long").alias("k"), "id")
+    per_key = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    joined = common.join_per_key(rows, per_key, "k")
+    assert sorted(map(tuple, joined.select("k", "id", "n", "top").collect())) == sorted(map(tuple, rows.join(per_key, "k").select("k", "id", "n", "top").collect()))
+    assert joined.columns == ["k", "id", "n", "top"]
+
+
+def test_cut_tables_are_cleared(spark):
+    import os
+
+    from driftline.llm import common
+
+    with common.cleared(spark):
+        df, path = common.cut_at(spark.range(3))
+        at = path.removeprefix("file:")
+        assert df.count() == 3 and os.path.exists(at)
+    assert not os.path.exists(at)

@@ -100,3 +100,30 @@ def test_deep_shallow_sort_orders_suffixes(shallow):
         cut = [text[i : i + 50] for i in at[order]]
         assert cut == sorted(cut)
         assert [a == b for a, b in zip(cut, cut[1:])] == [a == b for a, b in zip(same, same[1:])]
+
+
+def test_hot_texts_of_any_number_are_salted(spark, prose, monkeypatch):
+    """More hot texts than cells: each cell's texts are salted, and results stay."""
+    monkeypatch.setattr(S.B, "CELLS", 4)
+    texts = [prose(30, i) for i in range(12)]
+    rows = [(i, texts[i % 12]) for i in range(400)] + [(None, texts[0])] * 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, buckets, _ = S.B.deal(df, "doc_id", "text", 2000)
+    assert max(r["count"] for r in dealt.groupBy("bucket").count().collect()) < 40 and buckets > 8
+    assert run(spark, rows, bucket_bytes=2000) == brute(rows)
+
+
+def test_hash_ranges_follow_the_hashes_not_the_buckets(spark, prose):
+    """Thousands of buckets exchange their hashes in a few blocks each."""
+    rows = [(i, prose(20, i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    source, buckets, total = S.B.deal(df, "doc_id", "text", 128)
+    parts = S.B.parts_for(total, S.SPAN // 2)
+    assert buckets > 1500 and parts == 8
+    assert S.B.parts_for(10**14, S.SPAN // 2) * S.B.PART_HASHES * (S.SPAN // 2) < 1.1 * 10**14
+    assert run(spark, rows[:300], bucket_bytes=128) == brute(rows[:300])
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        S.dedup(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
