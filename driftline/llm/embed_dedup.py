@@ -6,6 +6,7 @@ concatenates several hashes; each vector also probes the buckets that its
 closest second choices name.  Members of a bucket are compared by exact cosine
 in double precision, in blocks of bounded size, and give spanning links, never
 all pairs.  Links are counted afterwards inside each component, block by block.
+Members are dealt to blocks by a hash, so no task numbers or sorts a bucket.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm import kernels as K
-from driftline.llm.common import cut
+from driftline.llm.common import cut, join_per_key
 from driftline.llm.components import components, spanning
 
-#: Vectors of a block; a larger bucket or component is compared block against block.
-BLOCK = 512
+#: Vectors of a block, about; a larger bucket or component is compared block against block.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -109,11 +110,12 @@ def _linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return x @ y.T >= least * np.outer(np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1)))
 
 
-def _in_blocks(members: DataFrame, key: str, order: str) -> DataFrame:
-    """Each member once per pair of blocks (lo <= hi) of its key that its block is part of."""
-    w = Window.partitionBy(key)
-    own = members.withColumn("block", F.floor((F.row_number().over(w.orderBy(order)) - 1) / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.count("*").over(w) / BLOCK).cast("int"))
-    return own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")}).drop("blocks", "with")
+def _in_blocks(members: DataFrame, key: str) -> DataFrame:
+    """(key, node, block, lo, hi): each member once per pair of blocks (lo <= hi) of its key that its
+    block is part of.  ``members`` has ``n``, the number of rows of the key."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = members.select(key, "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with")).distinct()
+    return own.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")}).drop("with")
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,16 +131,23 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     Rows are compared only with equal, non-null labels and equal vector lengths.  Null, empty and
     zero vectors and those with null or non-finite components link with nothing.  Equal vectors
     form a class that is hashed once and counts with its size.  Ties at the threshold link; a null
-    id takes part and gets its component's smallest id; an empty table gives no rows."""
+    id takes part and gets its component's smallest id; repeated rows are vectors of their own;
+    other columns are left out; an empty table gives no rows."""
     v = F.col("embedding")
     usable = v.isNotNull() & F.col("label").isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
     source = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
     source = source.withColumn("usable", F.coalesce(usable, F.lit(False)))
     keyed = source.withColumns({"node": F.when(F.col("usable"), F.xxhash64("label", "embedding")), "check": F.when(F.col("usable"), F.xxhash64(F.lit(17), "embedding", "label"))})
-    classes = cut(keyed.filter("usable").groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("check").alias("check"), F.max("check").alias("check_to"), F.first("embedding").alias("embedding"), F.first("label").alias("label")))
-    seen = classes.agg(F.count("*"), F.max(F.size("embedding")), F.count_if(F.col("check") != F.col("check_to"))).first()
-    if seen[2]:
-        raise RuntimeError("two different vectors have one 64-bit key; use another seed")
+    for turn in range(8):
+        classes = cut(keyed.filter("usable").groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("check").alias("check"), F.max("check").alias("check_to"), F.first("embedding").alias("embedding"), F.first("label").alias("label")))
+        seen = classes.agg(F.count("*"), F.max(F.size("embedding")), F.count_if(F.col("check") != F.col("check_to"))).first()
+        if not seen[2]:
+            break
+        # a few of 10**10 vectors share a 64-bit key with another: they take keys from the second one
+        clashing = classes.filter("check != check_to").select(F.col("node").alias("clashing"))
+        keyed = keyed.join(clashing, F.col("node") == F.col("clashing"), "left").withColumn("node", F.when(F.col("clashing").isNotNull(), F.xxhash64("check", F.lit(turn))).otherwise(F.col("node"))).drop("clashing")
+    else:
+        raise RuntimeError("keys of vectors do not settle")
     plan = tables or Tables.of(seen[0], seen[1] or 2)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +164,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node)], ["bucket", "node"])
 
     posted = classes.select("node", "embedding", F.xxhash64("label")).mapInArrow(K.released_after(hashed), "bucket long, node long")
-    met = posted.withColumn("held", F.count("*").over(Window.partitionBy("bucket"))).filter("held > 1").select("bucket", "node").distinct()
-    members = _in_blocks(met, "bucket", "node").join(classes.select("node", "embedding", "label"), "node")
+    held = posted.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = _in_blocks(join_per_key(posted, held, "bucket"), "bucket").join(classes.select("node", "embedding", "label"), "node")
 
     def span(table: pa.Table) -> pa.Table:
         """Links that connect the members of a bucket's two blocks as all their links would."""
@@ -178,16 +187,17 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
             return pa.table({"node": node[a], "found": near @ copies[b]})
         return pa.table({"node": np.concatenate([node[a], node[b]]), "found": np.concatenate([near @ copies[b], near.T @ copies[a]])})
 
-    grouped = roots.join(classes.select("node", "embedding", "copies", "first_id"), "node")
-    counted = _in_blocks(grouped.select("node", "root", "embedding", "copies"), "root", "node").groupBy("root", "lo", "hi").applyInArrow(K.released(count), "node long, found long").groupBy("node").agg(F.sum("found").alias("found"))
-    least_id = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = roots.join(classes.select("node", "first_id"), "node")
+    per_root = named.groupBy("root").agg(F.count("*").alias("n"), F.min("first_id").alias("component_id"))
+    placed = cut(join_per_key(named, per_root, "root").select("root", "node", "n", "component_id"))
+    compared = _in_blocks(placed, "root").join(classes.select("node", "embedding", "copies"), "node")
+    counted = compared.groupBy("root", "lo", "hi").applyInArrow(K.released(count), "node long, found long").groupBy("node").agg(F.sum("found").alias("found"))
     result = (
         classes.select("node", "copies", "first_id")
-        .join(roots, "node", "left")
+        .join(placed.select("node", "component_id"), "node", "left")
         .join(counted, "node", "left")
-        .join(least_id, "root", "left")
-        .select(F.col("node").alias("of"), (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("least_id"))
+        .select("node", "copies", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component"))
     )
-    out = keyed.select("id", "node").join(result, F.col("node") == F.col("of"), "left")
-    component = F.when(F.col("of").isNotNull(), F.col("least_id")).otherwise(F.col("id"))
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    linked = join_per_key(keyed.filter("usable").select("id", "node"), result, "node", "copies").select("id", "n_links", "component")
+    alone = keyed.filter("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    return linked.union(alone).select("id", F.col("n_links").cast("long").alias("n_links"), F.col("component").cast("long").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))

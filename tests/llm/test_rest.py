@@ -197,16 +197,31 @@ def test_vector_corner_cases(spark, rows):
     assert vectors(spark, rows) == links(rows)
 
 
-def test_recall_at_the_threshold():
+def test_vectors_with_one_key_take_others(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    class Narrow:
+        def __getattr__(self, name):
+            return (lambda *c: F.xxhash64(*c) % 3 if len(c) == 2 and c[0] == "label" else F.xxhash64(*c)) if name == "xxhash64" else getattr(F, name)
+
+    monkeypatch.setattr(embed_dedup, "F", Narrow())
+    r = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in r.normal(size=8).astype(np.float32)], i % 2) for i in range(20)]
+    rows += [(100 + i, v, lab) for i, v, lab in rows[:6]] + [(200, None, 1)]
+    assert vectors(spark, rows) == links(rows)
+
+
+@pytest.mark.parametrize("dim", [16, 64, 256, 768])
+def test_recall_at_the_threshold(dim):
     """Pairs of cosine exactly 0.93 share a bucket in at least 97 of 100 cases."""
     r = np.random.default_rng(5)
-    a = r.normal(size=(600, 64))
+    a = r.normal(size=(600, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = r.normal(size=(600, 64))
+    b = r.normal(size=(600, dim))
     b -= (a * b).sum(1, keepdims=True) * a
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
     for n in (1_000, 1_000_000):
-        t = embed_dedup.Tables.of(n, 64)
+        t = embed_dedup.Tables.of(n, dim)
         x, y = embed_dedup.buckets(a, t), embed_dedup.buckets(b, t)
         met = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3))
         assert met.mean() >= 0.97
