@@ -209,15 +209,17 @@ def _pairs(shared: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _links(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs whose further prefixes share enough and whose sets are similar enough."""
-    orders = held.select("node", "n", "second", "third")
-    left = pairs.join(orders.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("second").alias("second_a"), F.col("third").alias("third_a")), "a")
-    both = left.join(orders.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("second").alias("second_b"), F.col("third").alias("third_b")), "b")
-    enough = lambda x: _overlap_fits(F.col("na"), F.col("nb"), F.size(F.array_intersect(f"{x}_a", f"{x}_b")), rule)
-    passed = both.filter(enough("second") & enough("third")).select("a", "b")
-    whole = held.select("node", "tokens")
-    left = passed.join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-    both = left.join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    """Pairs whose further prefixes share enough and whose sets are similar enough.  A hub is the
+    first of many pairs, so their joins with it are spread."""
+    per_a = pairs.groupBy("a").agg(F.count("*").alias("pairs"))
+
+    def with_sides(found: DataFrame, *columns: str) -> DataFrame:
+        named = lambda x: held.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        return join_per_key(found, named("a").join(per_a, "a"), "a", "pairs").drop("pairs").join(named("b"), "b")
+
+    both = with_sides(pairs, "n", "second", "third")
+    enough = lambda x: _overlap_fits(F.col("n_a"), F.col("n_b"), F.size(F.array_intersect(f"{x}_a", f"{x}_b")), rule)
+    both = with_sides(both.filter(enough("second") & enough("third")).select("a", "b"), "tokens")
     common = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
     return both.withColumn("common", common).filter(F.col("common") * rule.of >= (F.size("tokens_a") + F.size("tokens_b") - F.col("common")) * rule.least).select("a", "b")
 
