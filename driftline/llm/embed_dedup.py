@@ -163,7 +163,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
                     node = np.repeat(part.column(0).to_numpy(), key[0].size)
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node)], ["bucket", "node"])
 
-    posted = classes.select("node", "embedding", F.xxhash64("label")).mapInArrow(K.released_after(hashed), "bucket long, node long")
+    # read three times below, so written: vectors are hashed once
+    posted = cut(classes.select("node", "embedding", F.xxhash64("label")).mapInArrow(K.released_after(hashed), "bucket long, node long"))
     held = posted.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = _in_blocks(join_per_key(posted, held, "bucket"), "bucket").join(classes.select("node", "embedding", "label"), "node")
 
