@@ -85,3 +85,52 @@ def test_machine_learns_a_pair_that_no_single_term_tells():
     at = fm.lookup()
     score = lambda *t: fm.score(at[np.array(t)], np.zeros(len(t), int), 1)[0]
     assert score(10, 20) > 0.7 > 0.3 > max(score(10), score(20))
+
+
+def _toxic_rows(n, prose):
+    """(doc_id, text, label): every sixth text holds one of two rude words; one text in ten is repeated."""
+    r, rows = random.Random(5), []
+    for i in range(n):
+        label = int(i % 6 == 0)
+        text = prose(r.randrange(5, 40), i) + (r.choice([" blorg", " Skavver"]) if label else "")
+        rows.append((i, text, label))
+        if i % 10 == 0:
+            rows.append((n + i, text, label))
+    return rows
+
+
+def test_training_equals_a_fit_on_all_terms_of_distinct_texts(spark, prose):
+    """Terms tested on the executors give the machine that one fit of the whole rows gives."""
+    rows = [*_toxic_rows(240, prose), (10_000, None, 0), (10_001, "", 0), (10_002, prose(30_000, 1), 0)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(x[0], x[2]) for x in rows] * 2, "doc_id long, toxic int")
+    got = toxicity.train(docs, labels, "toxic", 3, 1)
+    own = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 != 1]
+    features = toxicity.featurise(spark.createDataFrame(own, "doc_id long, text string, label int"))
+    label_of = {x[0]: x[2] for x in own}
+    plain = {(h.key, label_of[h.id]): h.terms for h in features.select("id", "terms", F.xxhash64("terms").alias("key")).collect()}
+    order = sorted(plain)
+    want = toxicity.fit(np.array([t for k in order for t in plain[k]], np.int32), np.cumsum([len(plain[k]) for k in order]), np.array([float(k[1]) for k in order]))
+    assert len(want.term) > 0
+    np.testing.assert_array_equal(got.term, want.term)
+    np.testing.assert_allclose(got.weight, want.weight)
+    np.testing.assert_allclose(got.factor, want.factor)
+    assert got.bias == pytest.approx(want.bias)
+
+
+def test_sample_is_bounded_where_an_id_has_many_texts(spark, prose):
+    """A third of all rows under one labelled id do not all come into the sample."""
+    docs = spark.createDataFrame([(i if i < 2000 else 0, prose(4, i)) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    found = toxicity.sample(docs, labels, "toxic", 3, 1, 300).count()
+    whole = toxicity.sample(docs, labels, "toxic", 3, 1, 10_000).count()
+    assert found <= 450
+    assert whole == sum((zlib.crc32(str(i).encode()) % 3 != 1) * (1001 if i == 0 else 1) for i in range(2000))
+
+
+def test_model_is_bounded_in_terms(monkeypatch):
+    counts, hits = np.full(1 << toxicity.BITS, 0), np.full(1 << toxicity.BITS, 0)
+    counts[:6], hits[:6] = 100, [100, 90, 80, 60, 50, 10]
+    assert toxicity.telling(counts, hits, 1000, 200).tolist() == [0, 1, 2, 3, 4]
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 2)
+    assert toxicity.telling(counts, hits, 1000, 200).tolist() == [0, 1]
