@@ -92,6 +92,14 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(K.released_after(run), T.StructType([T.StructField("id", id_type), T.StructField("stats", T.ArrayType(T.DoubleType()))]))
 
 
+def _substitute(lower: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """z with ``lower @ z == right`` for a lower triangular matrix, all columns at once."""
+    z = np.empty_like(right)
+    for i in range(len(lower)):
+        z[i] = (right[i] - lower[i, :i] @ z[:i]) / lower[i, i]
+    return z
+
+
 @dataclass
 class Quadratic:
     """Class means, Cholesky factors and constants; index 0 and 1 are the labels."""
@@ -104,7 +112,7 @@ class Quadratic:
         """Posterior of label 1 for each row of x."""
         log = []
         for k in (0, 1):
-            z = np.linalg.solve(self.chol[k], (x - self.mean[k]).T)
+            z = _substitute(self.chol[k], (x - self.mean[k]).T)
             log.append(self.const[k] - 0.5 * np.einsum("ij,ij->j", z, z))
         return 1.0 / (1.0 + np.exp(np.clip(log[0] - log[1], -60, 60)))
 
@@ -175,7 +183,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
 
     Statistics are computed once and kept as a narrow table.  Null or empty texts are scored by
     their (prior) statistics; rows with a null id count as held out; repeated rows are scored
-    each; an empty table gives no rows, and without any usable label every score is 0.5."""
+    each; an empty table gives no rows, and without any usable label every score is 0.5.  Texts of
+    any length are counted whole; no column beside ``doc_id`` and ``text`` is read, so none can clash."""
     features = cut(featurise(docs))
     model = train(features, labels, label_col, modulus, held_out)
     fold_of = fold(F.col("id"), modulus)
@@ -186,7 +195,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_
     """The rows of ``docs`` whose score reaches the threshold, all columns unchanged.
 
     The model is fitted as in :func:`score_documents`; then each text is scored where it is
-    read, so no text is shuffled."""
+    read, so no text is shuffled.  Null and empty texts are judged by their prior statistics."""
     model = train(featurise(docs), labels, label_col, modulus, held_out)
     schema = docs.schema
     at = docs.columns.index("text")

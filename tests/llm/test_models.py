@@ -134,3 +134,10 @@ def test_model_is_bounded_in_terms(monkeypatch):
     assert toxicity.telling(counts, hits, 1000, 200).tolist() == [0, 1, 2, 3, 4]
     monkeypatch.setattr(toxicity, "MAX_TERMS", 2)
     assert toxicity.telling(counts, hits, 1000, 200).tolist() == [0, 1]
+
+
+def test_forward_substitution_solves_the_triangle():
+    r = np.random.default_rng(3)
+    lower, right = np.tril(r.normal(size=(6, 6))) + 5 * np.eye(6), r.normal(size=(6, 4))
+    np.testing.assert_allclose(lower @ quality._substitute(lower, right), right)
+    assert quality._substitute(lower, right[:, :0]).shape == (6, 0)
