@@ -141,3 +141,19 @@ def test_forward_substitution_solves_the_triangle():
     lower, right = np.tril(r.normal(size=(6, 6))) + 5 * np.eye(6), r.normal(size=(6, 4))
     np.testing.assert_allclose(lower @ quality._substitute(lower, right), right)
     assert quality._substitute(lower, right[:, :0]).shape == (6, 0)
+
+
+def test_fitting_for_keep_good_runs_one_python_worker_a_task(spark, monkeypatch):
+    """Statistics are made and added up in separate jobs, also where labels are broadcast."""
+    plans, moments = [], quality.moments
+
+    def seen(labelled):
+        plans.append(labelled._jdf.queryExecution().optimizedPlan().toString())
+        return moments(labelled)
+
+    monkeypatch.setattr(quality, "moments", seen)
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+    assert kept == {r.id for r in quality.score_documents(docs, labels).filter("score >= 0.3").collect()}
